@@ -26,7 +26,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Fixed shapes of values; what they match is validated afterwards.
 SHAPES = {
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z])",
-    "secret": r"(?<=\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key) ?[=:] ?[\"']?)[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9a-f]{32})(?<=\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key) ?[=:] ?[\"']?)[0-9a-f]{32,64}(?![0-9A-Za-z])",
     "iban": r"(?<![\w+])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ipv4": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])",
@@ -34,7 +34,13 @@ SHAPES = {
     "date": r"(?<![\w./+-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-])",
     "card": r"(?<![\w+])(?:\d{4}(?<s>[ -]?)\d{4}\k<s>\d{4}\k<s>\d{4}|\d{4}(?<u>[ -]?)\d{6}\k<u>\d{5}|\d{13,19})(?!\w)",
 }
-ANY = "|".join(SHAPES.values())
+_WITH_DIGITS = [v for k, v in SHAPES.items() if k not in ("email", "secret", "iban")]
+ANY = "|".join([*(SHAPES[k] for k in ("email", "secret", "iban")), f"(?=[0-9+(])(?:{'|'.join(_WITH_DIGITS)})"])
+
+
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.transform(F.array(value), then)[0]
 
 
 def _noise(key: str, kind: str, step: Column, of: Column) -> Column:
@@ -48,15 +54,14 @@ def permute_string(text: Column, key: str, kind: str, letters: int = 26) -> Colu
     def one(text: Column, step: Column) -> Column:
         place = F.sequence(F.lit(1), F.length(text))
         rest = F.array_join(F.transform(F.filter(place, lambda p: p % 2 != step % 2), lambda p: text.substr(p, F.lit(1))), "")
-        noise = _noise(key, kind, step, rest)
 
-        def char(p: Column) -> Column:
+        def char(p: Column, noise: Column) -> Column:
             c = text.substr(p, F.lit(1))
             by = F.conv(noise.substr(((p / 2).cast("int") % 21) * 3 + 1, F.lit(3)), 16, 10).cast("int")
             moved = lambda base, n: F.char((F.ascii(c) - base + by) % n + base)
             return F.when(p % 2 != step % 2, c).when(c.between("0", "9"), moved(48, 10)).when(c.between("a", "z"), moved(97, letters)).when(c.between("A", "Z"), moved(65, letters)).otherwise(c)
 
-        return F.array_join(F.transform(place, char), "")
+        return let(_noise(key, kind, step, rest), lambda noise: F.array_join(F.transform(place, lambda p: char(p, noise)), ""))
 
     return F.when(F.length(text) > 0, F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), text, one)).otherwise(text)
 
@@ -66,8 +71,9 @@ def permute_pair(left: Column, right: Column, n: int, m: int, key: str, kind: st
 
     def one(pair: Column, step: Column) -> Column:
         turn = step % 2 == 0
-        by = lambda of: F.conv(_noise(key, kind, step, of.cast("string")).substr(1, 12), 16, 10).cast("long")
-        return F.struct(F.when(turn, (pair["a"] + by(pair["b"])) % n).otherwise(pair["a"]).alias("a"), F.when(turn, pair["b"]).otherwise((pair["b"] + by(pair["a"])) % m).alias("b"))
+        fixed = F.when(turn, pair["b"]).otherwise(pair["a"])
+        by = F.conv(_noise(key, kind, step, fixed.cast("string")).substr(1, 12), 16, 10).cast("long")
+        return F.struct(F.when(turn, (pair["a"] + by) % n).otherwise(pair["a"]).alias("a"), F.when(turn, pair["b"]).otherwise((pair["b"] + by) % m).alias("b"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(left.cast("long").alias("a"), right.cast("long").alias("b")), one)
 
@@ -78,30 +84,30 @@ def _digits(text: Column) -> Column:
 
 def luhn_sum(digits: Column, doubled: int) -> Column:
     """The Luhn sum, where places count from the right from 0 and those of the parity `doubled` count double."""
-    n = F.length(digits)
 
-    def worth(p: Column) -> Column:
+    def worth(digits: Column, n: Column, p: Column) -> Column:
         d = digits.substr(p, F.lit(1)).cast("int")
-        twice = d * 2
-        return F.when((n - p) % 2 == doubled, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(d)
+        return F.when((n - p) % 2 == doubled, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)
 
-    return F.aggregate(F.transform(F.sequence(F.lit(1), n), worth), F.lit(0), lambda a, x: a + x)
+    return let(digits, lambda s: F.aggregate(F.transform(F.sequence(F.lit(1), F.length(s)), lambda p: worth(s, F.length(s), p)), F.lit(0), lambda a, x: a + x))
 
 
 def mod97(text: Column) -> Column:
     """Letters count as two digits, A as 10."""
 
-    def step(acc: Column, p: Column) -> Column:
-        c = text.substr(p, F.lit(1))
+    def step(acc: Column, c: Column) -> Column:
         return F.when(c.between("0", "9"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), step)
+    return let(text, lambda s: F.aggregate(F.split(s, ""), F.lit(0), step))
 
 
 def _refill(shape: Column, chars: Column, kept: str) -> Column:
     """The characters of chars in the places of shape that match kept, in order."""
-    place = F.sequence(F.lit(1), F.length(shape))
-    return F.array_join(F.transform(place, lambda p: F.when(shape.substr(p, F.lit(1)).rlike(kept), chars.substr(F.length(F.regexp_replace(shape.substr(F.lit(1), p), f"[^{kept[1:]}", "")), F.lit(1))).otherwise(shape.substr(p, F.lit(1)))), "")
+    def fill(c: Column, p: Column, chars: Column) -> Column:
+        before = F.length(F.regexp_replace(shape.substr(F.lit(1), p + 1), f"[^{kept[1:]}", ""))
+        return F.when(c.rlike(kept), chars.substr(before, F.lit(1))).otherwise(c)
+
+    return let(chars, lambda x: F.array_join(F.transform(F.split(shape, ""), lambda c, p: fill(c, p, x)), ""))
 
 
 def _day(text: Column) -> Column:
@@ -134,17 +140,16 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     local = F.substring_index(value, "@", 1)
     email = F.concat(permute_string(local, key, "email"), value.substr(F.length(local) + 1, F.length(value)))
 
-    body = permute_string(digits.substr(F.lit(1), F.length(digits) - 1), key, "card")
-    check = ((10 - luhn_sum(body, 0) % 10) % 10).cast("string")
-    card = _refill(value, F.concat(body, check), "[0-9]")
+    check = lambda body: ((10 - luhn_sum(body, 0) % 10) % 10).cast("string")
+    card = _refill(value, let(permute_string(digits.substr(F.lit(1), F.length(digits) - 1), key, "card"), lambda body: F.concat(body, check(body))), "[0-9]")
 
-    bban, country = permute_string(solid.substr(F.lit(5), F.length(solid)), key, "iban"), solid.substr(1, 2)
-    iban = _refill(value, F.concat(country, F.lpad((98 - mod97(F.concat(bban, country, F.lit("00")))).cast("string"), 2, "0"), bban), "[0-9A-Z]")
+    country = solid.substr(1, 2)
+    check97 = lambda bban: F.lpad((98 - mod97(F.concat(bban, country, F.lit("00")))).cast("string"), 2, "0")
+    iban = _refill(value, let(permute_string(solid.substr(F.lit(5), F.length(solid)), key, "iban"), lambda bban: F.concat(country, check97(bban), bban)), "[0-9A-Z]")
 
     o = F.transform(F.split(value, r"\."), lambda x: x.cast("int"))
-    ip = permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ipv4")
-    byte = lambda x: (F.concat_ws(".", F.shiftright(x, 8).cast("string"), (x % 256).cast("string")))
-    ipv4 = F.concat_ws(".", byte(ip["a"]), byte(ip["b"]))
+    byte = lambda x: F.concat_ws(".", F.shiftright(x, 8).cast("string"), (x % 256).cast("string"))
+    ipv4 = let(permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ipv4"), lambda ip: F.concat_ws(".", byte(ip["a"]), byte(ip["b"])))
 
     code = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)
     tail = value.substr(F.length(code) + 1, F.length(value))
@@ -152,16 +157,16 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
 
     area = digits.substr(1, 3).cast("int")
     s = permute_pair(F.when(area > 666, area - 2).otherwise(area - 1), (digits.substr(4, 2).cast("int") - 1) * 9999 + digits.substr(6, 4).cast("int") - 1, 898, 99 * 9999, key, "ssn")
-    new_area = F.when(s["a"] >= 665, s["a"] + 2).otherwise(s["a"] + 1)
-    ssn = F.concat_ws("-", F.lpad(new_area.cast("string"), 3, "0"), F.lpad((F.floor(s["b"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((s["b"] % 9999 + 1).cast("string"), 4, "0"))
+    padded = lambda n, width: F.lpad(n.cast("string"), width, "0")
+    ssn = let(s, lambda s: F.concat_ws("-", padded(F.when(s["a"] >= 665, s["a"] + 2).otherwise(s["a"] + 1), 3), padded(F.floor(s["b"] / 9999) + 1, 2), padded(s["b"] % 9999 + 1, 4)))
 
     offset = F.date_diff(_day(value), F.lit(FIRST_DAY).cast("date"))
-    d = permute_pair(F.floor(offset / DATE_SIDE), offset % DATE_SIDE, DATE_SIDE, DATE_SIDE, key, "date")
-    day = F.date_add(F.lit(FIRST_DAY).cast("date"), (d["a"] * DATE_SIDE + d["b"]).cast("int"))
+    d = let(offset, lambda n: permute_pair(F.floor(n / DATE_SIDE), n % DATE_SIDE, DATE_SIDE, DATE_SIDE, key, "date"))
     parts, mark = F.split(value, "[-/.]"), F.regexp_extract(value, "[-/.]", 0)
     month_first = F.try_to_date(F.concat_ws("-", parts[2], F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0")), "yyyy-MM-dd").isNull()
-    in_order = lambda *forms: F.concat(F.date_format(day, forms[0]), mark, F.date_format(day, forms[1]), mark, F.date_format(day, "yyyy"))
-    date = F.when(value.rlike(r"^\d{4}-"), F.date_format(day, "yyyy-MM-dd")).when(month_first, in_order("MM", "dd")).otherwise(in_order("dd", "MM"))
+    written = lambda day, *forms: F.concat(F.date_format(day, forms[0]), mark, F.date_format(day, forms[1]), mark, F.date_format(day, "yyyy"))
+    shown = lambda day: F.when(value.rlike(r"^\d{4}-"), F.date_format(day, "yyyy-MM-dd")).when(month_first, written(day, "MM", "dd")).otherwise(written(day, "dd", "MM"))
+    date = let(d, lambda d: let(F.date_add(F.lit(FIRST_DAY).cast("date"), (d["a"] * DATE_SIDE + d["b"]).cast("int")), shown))
 
     secret = permute_string(value, key, "secret", letters=6)
     by_kind = {"email": email, "secret": secret, "iban": iban, "ipv4": ipv4, "phone": phone, "ssn": ssn, "date": date, "card": card}
@@ -179,7 +184,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", values: str = "p
     matched = F.regexp_extract_all(source, F.lit(f"({ANY})"), 1)
     kind = lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind"))
     new = lambda x: F.struct(x["value"].alias("value"), x["kind"].alias("kind"), F.coalesce(pseudonym(x["value"], x["kind"], key), x["value"]).alias("new"))
-    hit = source.rlike("[0-9]") & source.rlike(ANY)
+    hit = source.rlike("[0-9@]") & source.rlike(ANY)
     step = docs.withColumn("_found", F.when(hit, F.transform(F.transform(matched, kind), new)))
     step = step.withColumn("_gaps", F.when(F.col("_found").isNotNull(), F.split(source, ANY, -1)))
     start = lambda i: F.aggregate(F.slice(F.col("_gaps"), F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(F.col("_found"), F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x["value"]))
