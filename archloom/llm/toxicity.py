@@ -28,6 +28,8 @@ from archloom.llm.common import whole_text
 #: Labelled rows that the classifier learns from, at most.
 SAMPLE = 6000
 BITS, ROUNDS, L2, COUNTERFACTUAL = 18, 150, 2e-3, 1.0
+#: Features are kept if their frequencies in the two classes are so many standard errors apart, in so many rows.
+SCREEN, RARE = 3.0, 3
 #: Words that name groups; the terms of a set stand in for each other.
 IDENTITY = (
     ("women", "men", "woman", "man", "girls", "boys", "frauen", "männer", "femmes", "hommes", "mujeres", "hombres"),
@@ -76,6 +78,16 @@ def swaps(words: set[str]) -> Iterator[tuple[str, str]]:
         yield from ((word, other) for other in SETS[word] if other != word)
 
 
+def telling(rows: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+    """Which features differ in frequency between the classes by SCREEN standard errors and occur in RARE rows at least."""
+    toxic, n = labels == 1, np.array([(labels == 0).sum(), (labels == 1).sum()], float)
+    count = lambda some: np.bincount(np.concatenate([np.zeros(0, np.int64), *some]), minlength=size)
+    clean, bad = count([r for r, t in zip(rows, toxic, strict=True) if not t]), count([r for r, t in zip(rows, toxic, strict=True) if t])
+    both = (clean + bad) / n.sum()
+    error = np.sqrt(both * (1 - both) * (1 / n).sum()) + 1e-12
+    return (np.abs(bad / n[1] - clean / n[0]) >= SCREEN * error) & (clean + bad >= RARE)
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]], strength: float = COUNTERFACTUAL) -> Model:
     """rows: features of each sentence. changes: features that a swap takes away and those that it adds."""
     size, n = 1 << BITS, max(1, len(rows))
@@ -83,8 +95,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, changes: list[tuple[np.ndarr
     start = np.log((share + 0.5 / n) / (1 - share + 0.5 / n))
     if not len(labels) or share in (0.0, 1.0):
         return Model(np.zeros(size), float(start))
-    seen = np.bincount(np.concatenate(rows), minlength=size)
-    rows = [r[seen[r] > 1] for r in rows]  # what occurs once teaches only that row
+    useful = telling(rows, labels, size)
+    rows = [r[useful[r]] for r in rows]
+    changes = [(a[useful[a]], b[useful[b]]) for a, b in changes]
     flat, lengths = np.concatenate(rows), np.array([len(r) for r in rows])
     of = np.repeat(np.arange(n), lengths)
     pairs = np.concatenate([np.concatenate([a, b]) for a, b in changes]) if changes else np.zeros(0, np.int32)
