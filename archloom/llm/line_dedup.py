@@ -4,11 +4,12 @@ A line is cut at white space, and tokens with a digit become <*>. The tree has a
 of tokens and then by its first three to a leaf. In a leaf, a place keeps a token that more than half of the leaf's
 different lines have there and is variable otherwise; lines that agree with at least six tenths of the places share the
 leaf's template, any other line is its own template. A template that occurs in several documents is recurring: its lines
-are dropped from all documents but at its first occurrence (least doc_id, then least line number), so that the text is
-not lost altogether. Lines of fewer than four tokens always stay.
+are dropped from all documents but the first (least doc_id), so that the text is not lost altogether. Lines of fewer than
+four tokens always stay.
 
-Only hashes of lines are shuffled to find leaves and templates; tokens are looked at in leaves with different lines in
-different documents only. Common lines are counted before they are shuffled.
+The text is masked once, and only hashes of lines are kept and shuffled to find leaves and templates. Tokens are looked
+at in leaves with different lines in different documents only, of one line for each hash. Common lines are counted before
+they are shuffled.
 
 Null text stays null and has no lines; an empty text stays empty. A document without dropped lines is returned as it was.
 Rows that repeat a doc_id are one document, so their equal lines don't recur; rows with a null doc_id stay as they are.
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archloom.llm.common import cut
+
 LEADING, MIN_TOKENS, AGREE = 3, 4, 0.6
 
 
@@ -30,36 +33,44 @@ def masked(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line number, masked line, number of tokens, leaf and line hashes, of the lines long enough."""
-    each = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    each = each.select("doc_id", "line_no", masked(F.col("line")).alias("masked"))
-    each = each.withColumn("n_tokens", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).where(F.col("n_tokens") >= MIN_TOKENS)
+    """doc_id, line number, leaf and line hashes, of the lines long enough. Whether masking can change any line is told
+    from the whole text."""
+    changes = F.col(text).rlike(r"[0-9]|[^\S \n]|  |\n | \n|^ | $")
+    # in a projection of its own: beside the generator it would be computed again for each line
+    told = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), changes.alias("changes"), F.col(text).alias("text"))
+    each = told.select("doc_id", "changes", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    each = each.select("doc_id", "line_no", F.when(F.col("changes"), masked(F.col("line"))).otherwise(F.col("line")).alias("masked"))
+    tokens = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    each = each.withColumn("n_tokens", tokens).where(F.col("n_tokens") >= MIN_TOKENS)
     leaf = F.xxhash64("n_tokens", F.substring_index("masked", " ", LEADING))
-    return each.select("doc_id", "line_no", "masked", "n_tokens", leaf.alias("leaf"), F.xxhash64("masked").alias("key"))
+    return each.select("doc_id", "line_no", leaf.alias("leaf"), F.xxhash64("masked").alias("key"))
 
 
-def templates(lines: DataFrame) -> DataFrame:
-    """leaf, key, template and shared, of the lines in leaves that hold different lines of different documents. shared:
-    the line agrees with its leaf's template."""
-    seen = lines.groupBy("leaf", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+def shared_templates(docs: DataFrame, lines: DataFrame, seen: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """leaf and key of the lines that agree with the template of their leaf, in leaves that hold different lines of
+    different documents. seen: for each leaf and key the least and the greatest doc_id."""
     mixed = seen.groupBy("leaf").agg(F.count("*").alias("lines"), F.min("low").alias("low"), F.max("high").alias("high")).where("lines > 1 and low <> high").select("leaf", "lines")
-    known = lines.select("leaf", "key", "masked", "n_tokens").join(mixed, "leaf").groupBy("leaf", "key", "n_tokens", "lines").agg(F.first("masked").alias("masked"))
-    tokens = known.select("leaf", "key", "n_tokens", "lines", F.posexplode(F.split("masked", " ")).alias("place", "token"))
-    fixed = tokens.groupBy("leaf", "place", "token", "lines").agg(F.count("*").alias("n")).where("n * 2 > lines").select("leaf", "place", "token")
-    agree = tokens.join(fixed, ["leaf", "place", "token"], "left_semi").groupBy("leaf", "key", "n_tokens").agg(F.count("*").alias("n"))
-    return agree.where(F.col("n") >= AGREE * F.col("n_tokens")).select("leaf", "key")
+    known = seen.join(mixed, "leaf").select("leaf", "key", "lines", F.col("low").alias("doc_id"))
+    places = lines.join(known, ["leaf", "key", "doc_id"]).groupBy("leaf", "key", "lines", "doc_id").agg(F.min("line_no").alias("line_no"))
+    wanted = places.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("leaf", "key", "lines", "line_no")).alias("_wanted"))
+    parts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.split(text, "\n").alias("_parts")).join(wanted, F.col("_id") == F.col("_doc"))
+    told = parts.select(F.inline(F.transform("_wanted", lambda w: F.struct(w["leaf"].alias("leaf"), w["key"].alias("key"), w["lines"].alias("lines"), masked(F.get("_parts", w["line_no"])).alias("masked")))))
+    told = told.where(F.xxhash64("masked") == F.col("key")).dropDuplicates(["leaf", "key"])  # rows that repeat a doc_id may have other lines
+    tokens = told.select("leaf", "key", "lines", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+    fixed = tokens.groupBy("leaf", "place", "token", "lines").agg(F.count("*").alias("n")).where("n * 2 > lines").select("leaf", "place", "token", F.lit(1).alias("agrees"))
+    agree = tokens.join(fixed, ["leaf", "place", "token"], "left").groupBy("leaf", "key").agg(F.count("agrees").alias("agrees"), F.count("*").alias("n_tokens"))
+    return agree.where(F.col("agrees") >= AGREE * F.col("n_tokens")).select("leaf", "key")
 
 
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and line_no of the lines that go, once each."""
-    lines = lines_of(docs, doc_id, text)
-    shared = templates(lines).withColumn("shared", F.lit(True))
-    each = lines.groupBy("leaf", "key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("doc_id").alias("high"))
-    named = each.join(shared, ["leaf", "key"], "left").withColumn("template", F.when(F.col("shared"), F.struct(F.lit(0).alias("own"), F.col("leaf").alias("h"))).otherwise(F.struct(F.lit(1).alias("own"), F.col("key").alias("h"))))
-    recurring = named.groupBy("template").agg(F.min("first").alias("first"), F.max("high").alias("high")).where("first.doc_id <> high")
-    going = named.join(recurring.select("template", F.col("first").alias("stays")), "template").select("leaf", "key", "stays")
-    found = lines.select("doc_id", "line_no", "leaf", "key").join(going, ["leaf", "key"])
-    return found.where(F.struct("doc_id", "line_no") != F.col("stays")).select("doc_id", "line_no")
+    lines = cut(lines_of(docs, doc_id, text))
+    seen = cut(lines.groupBy("leaf", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
+    shared = shared_templates(docs, lines, seen, doc_id, text).withColumn("shared", F.lit(True))
+    named = seen.join(shared, ["leaf", "key"], "left").withColumn("own", F.when(F.col("shared"), F.lit(0).cast("long")).otherwise(F.col("key")))
+    recurring = named.groupBy("leaf", "own").agg(F.min("low").alias("stays"), F.max("high").alias("last")).where("stays <> last")
+    going = named.join(recurring, ["leaf", "own"]).select("leaf", "key", "stays")
+    return lines.join(going, ["leaf", "key"]).where("doc_id <> stays").select("doc_id", "line_no")
 
 
 def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

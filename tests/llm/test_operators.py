@@ -367,7 +367,7 @@ def plain_line_dedup(rows):
     places: dict = {}
     for at, tokens in lines.items():
         places.setdefault(template[tokens], []).append(at)
-    gone = {at for p in places.values() if len({d for d, _ in p}) > 1 for at in p if at != min(p)}
+    gone = {at for p in places.values() for at in p if at[0] != min(p)[0]}
     return {doc: "\n".join(x for i, x in enumerate(text.split("\n")) if (doc, i) not in gone) if text is not None else None for doc, text in rows}
 
 
@@ -376,9 +376,9 @@ def test_line_dedup(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta".split()
     line = lambda: " ".join(rng.choices(words, k=rng.randint(1, 7)))
     rows = [(i, "\n".join([line() for _ in range(rng.randint(1, 6))] + ([f"user {rng.randrange(99)} logged in from host{i} today at noon"] if i % 2 else []) + (["read the full terms of use here"] * 2 if i % 3 == 0 else []))) for i in range(60)]
-    rows += [(100, None), (101, ""), (102, "a b c d\n" * 20_000)]
+    rows += [(100, None), (101, ""), (102, "a b c d\n" * 20_000), (103, "  tabs\tand   wide 12 spaces \n tabs and wide 12x spaces"), (104, "tabs and wide 7 spaces")]
     got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(docs_of(spark, rows).withColumn("n_lines", F.lit("clash"))).collect()}
     want = plain_line_dedup(rows)
     assert {i: r.text for i, r in got.items()} == want
-    assert got[100].n_lines == 0 and got[102].n_dropped == 0 and sum("logged in" in (r.text or "") for r in got.values()) == 1
+    assert got[100].n_lines == 0 and got[102].n_dropped == 0 and sum("logged in" in (r.text or "") for r in got.values()) == 1 and got[104].n_dropped == 1
     assert line_dedup.drop_recurring_lines(docs_of(spark, rows).limit(0)).count() == 0
