@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archloom.llm.common import cut
+from archloom.llm.common import cut, release
 
 LEADING, MIN_TOKENS, AGREE = 3, 4, 0.6
 
@@ -50,18 +50,26 @@ def shared_templates(docs: DataFrame, lines: DataFrame, seen: DataFrame, doc_id:
     """leaf and key of the lines that agree with the template of their leaf, in leaves that hold different lines of
     different documents. seen: for each leaf and key the least and the greatest doc_id."""
     mixed = seen.groupBy("leaf").agg(F.count("*").alias("lines"), F.min("low").alias("low"), F.max("high").alias("high")).where("lines > 1 and low <> high").select("leaf", "lines")
-    known = seen.join(mixed, "leaf").select("leaf", "key", "lines", F.col("low").alias("doc_id"))
-    places = lines.join(known, ["leaf", "key", "doc_id"]).groupBy("leaf", "key", "lines", "doc_id").agg(F.min("line_no").alias("line_no"))
-    wanted = places.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("leaf", "key", "lines", "line_no")).alias("_wanted"))
-    parts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.split(text, "\n").alias("_parts")).join(wanted, F.col("_id") == F.col("_doc"))
-    told = parts.select(F.inline(F.transform("_wanted", lambda w: F.struct(w["leaf"].alias("leaf"), w["key"].alias("key"), w["lines"].alias("lines"), masked(F.get("_parts", w["line_no"])).alias("masked")))))
-    told = told.where(F.xxhash64("masked") == F.col("key")).dropDuplicates(["leaf", "key"])  # rows that repeat a doc_id may have other lines
-    tokens = told.select("leaf", "key", "lines", F.posexplode(F.split("masked", " ")).alias("place", "token"))
-    fixed = tokens.groupBy("leaf", "place", "token", "lines").agg(F.count("*").alias("n")).where("n * 2 > lines").select("leaf", "place", "token", F.lit(1).alias("agrees"))
-    agree = tokens.join(fixed, ["leaf", "place", "token"], "left").groupBy("leaf", "key").agg(F.count("agrees").alias("agrees"), F.count("*").alias("n_tokens"))
+    known = seen.join(mixed, "leaf").select("leaf", "key", F.col("low").alias("doc_id"))
+    places = lines.join(known, ["leaf", "key", "doc_id"]).groupBy("leaf", "key", "doc_id").agg(F.min("line_no").alias("line_no"))
+    wanted = places.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("leaf", "key", "line_no")).alias("_wanted"))
+    found = _keyed(docs, doc_id).join(wanted, F.col("_id") == F.col("_doc")).withColumn("_parts", F.split(text, "\n"))
+    told = found.select("_id", F.inline(F.transform("_wanted", lambda w: F.struct(w["leaf"].alias("leaf"), w["key"].alias("key"), masked(F.get("_parts", w["line_no"])).alias("masked")))))
+    # rows that repeat a doc_id may have other lines there; they are in one partition already
+    told = cut(told.where(F.xxhash64("masked") == F.col("key")).dropDuplicates(["_id", "leaf", "key"]).select("leaf", "key", "masked"))
+    release(docs.sparkSession)
+    tokens = told.select("leaf", "key", F.posexplode(F.split("masked", " ")).alias("place", "token")).select("leaf", "key", F.xxhash64("place", "token").alias("token"))
+    most = tokens.groupBy("leaf", "token").agg(F.count("*").alias("n")).where("n > 1")  # mixed leaves have two lines or more
+    fixed = most.join(mixed, "leaf").where("n * 2 > lines").select("leaf", "token", F.lit(1).alias("agrees"))
+    agree = tokens.join(fixed, ["leaf", "token"], "left").groupBy("leaf", "key").agg(F.count("agrees").alias("agrees"), F.count("*").alias("n_tokens"))
     return agree.where(F.col("agrees") >= AGREE * F.col("n_tokens")).select("leaf", "key")
 
 
+def _keyed(docs: DataFrame, doc_id: str) -> DataFrame:
+    """docs with an id; both joins on it start from this, so that Spark shuffles the texts once for the two."""
+    return docs.withColumn("_id", F.col(doc_id).cast("long")).where("_id is not null")
+
+
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and line_no of the lines that go, once each."""
     lines = cut(lines_of(docs, doc_id, text))
@@ -76,9 +84,10 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the lines gone from `text`, the number of lines before, and the number that went."""
     going = dropped_lines(docs, doc_id, text).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_going"))
-    joined = docs.join(going, F.col(doc_id).cast("long") == F.col("_doc"), "left")
+    joined = _keyed(docs, doc_id).join(going, F.col("_id") == F.col("_doc"), "left").drop("_id", "_doc")
+    joined = joined.unionByName(docs.where(F.col(doc_id).isNull()).withColumn("_going", F.lit(None).cast("array<int>")))
     parts = F.split(text, "\n")
     left = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("_going", i)), "\n")
     rest = F.when(F.col("_going").isNotNull(), left).otherwise(F.col(text))
     result = joined.withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_going"), F.lit(0)).cast("long"), "_left": rest})
-    return result.withColumn(text, F.col("_left")).drop("_doc", "_going", "_left")
+    return result.withColumn(text, F.col("_left")).drop("_going", "_left")
