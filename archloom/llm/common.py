@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -20,17 +19,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there; survives lost executors."""
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+#: Makes Spark delete a finished execution's shuffle files.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps that nothing refers to any more, which it does when the driver
-    collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def cut(frame: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and go on from there; survives lost executors. The shuffle files that led to
+    them are deleted, as nothing reads them again."""
+    spark = frame.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return frame.select("*").checkpoint(eager=True)  # a frame of its own, which no other action runs
+    finally:
+        spark.conf.set(_CLEAN, before)
 
 
 def whole_text(name: str = "text") -> Column:
