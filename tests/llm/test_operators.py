@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -382,3 +383,39 @@ def test_line_dedup(spark):
     assert {i: r.text for i, r in got.items()} == want
     assert got[100].n_lines == 0 and got[102].n_dropped == 0 and sum("logged in" in (r.text or "") for r in got.values()) == 1 and got[104].n_dropped == 1
     assert line_dedup.drop_recurring_lines(docs_of(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+@pytest.mark.parametrize(("small", "batch"), [(64, 50), (4, 7), (1000, 1000)])
+def test_links_of_sorted_groups_against_brute_force(monkeypatch, blocks, small, batch):
+    """One key is shared by a third of the records; groups end within batches and go on in later ones."""
+    random = np.random.default_rng(1)
+    n = 200
+    x = random.standard_normal((n, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    keys = random.integers(0, 40, (n, 6))
+    keys[: n // 3, 0] = 7
+    ids, many = random.permutation(n) * 10 + 1, random.integers(1, 4, n)
+    want = {}
+    for i in range(n):
+        total = sum(int(many[j]) for j in range(n) if j != i and set(keys[i]) & set(keys[j]) and x[i] @ x[j] >= 0.5)
+        if total:
+            want[int(ids[i])] = total
+    rows = []
+    for i in range(n):
+        own = int(ids[i]) % blocks
+        for k in set(keys[i].tolist()):
+            rows += [(k, min(own, o), max(own, o), int(ids[i]), own, int(many[i]), sorted(set(keys[i].tolist())), x[i].tobytes()) for o in range(blocks)]
+    names = ["key", "first", "second", "id", "block", "many", "keys", "payload"]
+    table = pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in sorted(rows, key=lambda r: r[:3])])
+
+    def prepare(payloads):
+        v = np.stack([np.frombuffer(p) for p in payloads])
+        return lambda i, near: v[near] @ v[i] >= 0.5
+
+    monkeypatch.setattr(links, "SMALL", small)
+    got = {}
+    for part in links.chunks(table.to_batches(max_chunksize=batch)):
+        for r in links.compare(part, prepare).to_pylist():
+            got[r["id"]] = got.get(r["id"], 0) + r["links"]
+    assert got == want
