@@ -2,8 +2,10 @@
 
 A line is cut at white space, and tokens with a digit become <*>. The tree has a fixed depth: a line goes by its number
 of tokens and then by its first three to a leaf. In a leaf, a place keeps a token that more than half of the leaf's
-different lines have there and is variable otherwise; lines that agree with at least six tenths of the places share the
-leaf's template, any other line is its own template. A template that occurs in several documents is recurring: its lines
+different lines have there and is variable otherwise; lines that agree with at least six tenths of the places after the
+leading ones, and with three of them or more, share the leaf's template, any other line is its own template. (The leading
+tokens are equal in a leaf anyway and tell nothing.) Tokens with a digit stay where fewer than half of a line's tokens
+have none, as nothing but numbers would be left out of such a line. A template that occurs in several documents is recurring: its lines
 are dropped from all documents but the first (least doc_id), so that the text is not lost altogether. Lines of fewer than
 four tokens always stay.
 
@@ -24,12 +26,21 @@ from pyspark.sql import functions as F
 from archloom.llm.common import cut
 
 LEADING, MIN_TOKENS, AGREE = 3, 4, 0.6
+#: Places after the leading ones that a template of different lines has to fix at least.
+MIN_FIXED = 3
 
 
 def masked(line: Column) -> Column:
-    """Tokens between single blanks, with <*> for those that have a digit."""
+    """Tokens between single blanks, with <*> for those that have a digit if they are half of the tokens at most."""
     plain = F.trim(F.regexp_replace(line, r"\s+", " "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<!\S)[^\s0-9]*[0-9]\S*", "<*>")).otherwise(plain)
+    variable = r"(?<!\S)[^\s0-9]*[0-9]\S*"
+    few = 2 * F.regexp_count(plain, F.lit(variable)) <= n_tokens(plain)
+    return F.when(plain.rlike("[0-9]") & few, F.regexp_replace(plain, variable, "<*>")).otherwise(plain)
+
+
+def n_tokens(line: Column) -> Column:
+    """Tokens between single blanks."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -40,8 +51,7 @@ def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     told = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), changes.alias("changes"), F.col(text).alias("text"))
     each = told.select("doc_id", "changes", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     each = each.select("doc_id", "line_no", F.when(F.col("changes"), masked(F.col("line"))).otherwise(F.col("line")).alias("masked"))
-    tokens = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    each = each.withColumn("n_tokens", tokens).where(F.col("n_tokens") >= MIN_TOKENS)
+    each = each.withColumn("n_tokens", n_tokens(F.col("masked"))).where(F.col("n_tokens") >= MIN_TOKENS)
     leaf = F.xxhash64("n_tokens", F.substring_index("masked", " ", LEADING))
     return each.select("doc_id", "line_no", leaf.alias("leaf"), F.xxhash64("masked").alias("key"))
 
@@ -57,11 +67,11 @@ def shared_templates(docs: DataFrame, lines: DataFrame, seen: DataFrame, doc_id:
     told = found.select("_id", F.inline(F.transform("_wanted", lambda w: F.struct(w["leaf"].alias("leaf"), w["key"].alias("key"), masked(F.get("_parts", w["line_no"])).alias("masked")))))
     # rows that repeat a doc_id may have other lines there; they are in one partition already
     told = cut(told.where(F.xxhash64("masked") == F.col("key")).dropDuplicates(["_id", "leaf", "key"]).select("leaf", "key", "masked"))
-    tokens = told.select("leaf", "key", F.posexplode(F.split("masked", " ")).alias("place", "token")).select("leaf", "key", F.xxhash64("place", "token").alias("token"))
+    tokens = told.select("leaf", "key", F.posexplode(F.split("masked", " ")).alias("place", "token")).where(F.col("place") >= LEADING).select("leaf", "key", F.xxhash64("place", "token").alias("token"))
     most = tokens.groupBy("leaf", "token").agg(F.count("*").alias("n")).where("n > 1")  # mixed leaves have two lines or more
     fixed = most.join(mixed, "leaf").where("n * 2 > lines").select("leaf", "token", F.lit(1).alias("agrees"))
     agree = tokens.join(fixed, ["leaf", "token"], "left").groupBy("leaf", "key").agg(F.count("agrees").alias("agrees"), F.count("*").alias("n_tokens"))
-    return agree.where(F.col("agrees") >= AGREE * F.col("n_tokens")).select("leaf", "key")
+    return agree.where(F.col("agrees") >= F.greatest(F.lit(MIN_FIXED), AGREE * F.col("n_tokens"))).select("leaf", "key")
 
 
 def _keyed(docs: DataFrame, doc_id: str) -> DataFrame:

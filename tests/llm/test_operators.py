@@ -385,6 +385,18 @@ def test_line_dedup(spark):
     assert line_dedup.drop_recurring_lines(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def left_lines(spark, texts):
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(docs_of(spark, list(enumerate(texts)))).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_line_dedup_keeps_lines_that_only_begin_alike(spark):
+    texts = ["He is a doctor", "He is a teacher", "She went to the old house", "She went to the old castle", "They said that we should all go home", "They said that we must never come again", "1 2 3 40", "1 2 5 60", "12 34 56 78 total", "90 12 34 56 total"]
+    assert left_lines(spark, texts) == texts
+    texts = [f"Connection to server lost after restart by user {name}" for name in ("ann", "bob", "eve")]
+    assert left_lines(spark, texts) == [texts[0], "", ""]
+
+
 @pytest.mark.parametrize("blocks", [1, 3])
 @pytest.mark.parametrize(("small", "batch"), [(64, 50), (4, 7), (1000, 1000)])
 def test_links_of_sorted_groups_against_brute_force(monkeypatch, blocks, small, batch):
