@@ -7,7 +7,8 @@ leading ones, and with three of them or more, share the leaf's template, any oth
 tokens are equal in a leaf anyway and tell nothing.) Tokens with a digit stay where fewer than half of a line's tokens
 have none, as nothing but numbers would be left out of such a line. A template that occurs in several documents is recurring: its lines
 are dropped from all documents but the first (least doc_id), so that the text is not lost altogether. Lines of fewer than
-four tokens always stay.
+four tokens have no variable places: they recur as they are, in eight documents or more, as few words often meet by chance.
+Blank lines stay.
 
 The text is masked once, and only hashes of lines are kept and shuffled to find leaves and templates. Tokens are looked
 at in leaves with different lines in different documents only, of one line for each hash. Common lines are counted before
@@ -28,14 +29,16 @@ from archloom.llm.common import cut
 LEADING, MIN_TOKENS, AGREE = 3, 4, 0.6
 #: Places after the leading ones that a template of different lines has to fix at least.
 MIN_FIXED = 3
+#: Documents that a line of fewer than MIN_TOKENS tokens has to occur in to be recurring.
+SHORT_DOCS = 8
 
 
 def masked(line: Column) -> Column:
-    """Tokens between single blanks, with <*> for those that have a digit if they are half of the tokens at most."""
+    """Tokens between single blanks, with <*> for those that have a digit if they are half of the tokens of a long line at most."""
     plain = F.trim(F.regexp_replace(line, r"\s+", " "))
     variable = r"(?<!\S)[^\s0-9]*[0-9]\S*"
     few = 2 * F.regexp_count(plain, F.lit(variable)) <= n_tokens(plain)
-    return F.when(plain.rlike("[0-9]") & few, F.regexp_replace(plain, variable, "<*>")).otherwise(plain)
+    return F.when(plain.rlike("[0-9]") & (n_tokens(plain) >= MIN_TOKENS) & few, F.regexp_replace(plain, variable, "<*>")).otherwise(plain)
 
 
 def n_tokens(line: Column) -> Column:
@@ -44,16 +47,16 @@ def n_tokens(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line number, leaf and line hashes, of the lines long enough. Whether masking can change any line is told
-    from the whole text."""
+    """doc_id, line number, leaf and line hashes, of the lines that aren't blank. A short line is a leaf of its own, and both
+    its hashes are the same. Whether masking can change any line is told from the whole text."""
     changes = F.col(text).rlike(r"[0-9]|[^\S \n]|  |\n | \n|^ | $")
     # in a projection of its own: beside the generator it would be computed again for each line
     told = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), changes.alias("changes"), F.col(text).alias("text"))
     each = told.select("doc_id", "changes", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     each = each.select("doc_id", "line_no", F.when(F.col("changes"), masked(F.col("line"))).otherwise(F.col("line")).alias("masked"))
-    each = each.withColumn("n_tokens", n_tokens(F.col("masked"))).where(F.col("n_tokens") >= MIN_TOKENS)
-    leaf = F.xxhash64("n_tokens", F.substring_index("masked", " ", LEADING))
-    return each.select("doc_id", "line_no", leaf.alias("leaf"), F.xxhash64("masked").alias("key"))
+    each = each.withColumn("n_tokens", n_tokens(F.col("masked"))).where("masked <> ''").withColumn("key", F.xxhash64("masked"))
+    leaf = F.when(F.col("n_tokens") < MIN_TOKENS, F.col("key")).otherwise(F.xxhash64("n_tokens", F.substring_index("masked", " ", LEADING)))
+    return each.select("doc_id", "line_no", leaf.alias("leaf"), "key")
 
 
 def shared_templates(docs: DataFrame, lines: DataFrame, seen: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -86,7 +89,9 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     shared = shared_templates(docs, lines, seen, doc_id, text).withColumn("shared", F.lit(True))
     named = seen.join(shared, ["leaf", "key"], "left").withColumn("own", F.when(F.col("shared"), F.lit(0).cast("long")).otherwise(F.col("key")))
     recurring = named.groupBy("leaf", "own").agg(F.min("low").alias("stays"), F.max("high").alias("last")).where("stays <> last")
-    going = named.join(recurring, ["leaf", "own"]).select("leaf", "key", "stays")
+    going = named.where("leaf <> key").join(recurring, ["leaf", "own"]).select("leaf", "key", "stays")
+    short = lines.where("leaf = key").select("key", "doc_id").distinct().groupBy("key").agg(F.min("doc_id").alias("stays"), F.count("*").alias("docs"))
+    going = going.unionByName(short.where(F.col("docs") >= SHORT_DOCS).select(F.col("key").alias("leaf"), "key", "stays"))
     return lines.join(going, ["leaf", "key"]).where("doc_id <> stays").select("doc_id", "line_no")
 
 

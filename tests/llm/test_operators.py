@@ -397,6 +397,11 @@ def test_line_dedup_keeps_lines_that_only_begin_alike(spark):
     assert left_lines(spark, texts) == [texts[0], "", ""]
 
 
+def test_line_dedup_finds_short_lines(spark):
+    texts = [f"All rights  reserved.\n\nowner{i}\nPage {i}" + ("\nHe came." if i < 7 else "") for i in range(8)]
+    assert left_lines(spark, texts) == texts[:1] + [t.split("\n", 1)[1] for t in texts[1:]]
+
+
 @pytest.mark.parametrize("blocks", [1, 3])
 @pytest.mark.parametrize(("small", "batch"), [(64, 50), (4, 7), (1000, 1000)])
 def test_links_of_sorted_groups_against_brute_force(monkeypatch, blocks, small, batch):
