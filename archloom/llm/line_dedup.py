@@ -3,8 +3,10 @@
 A line is cut at white space, and tokens with a digit become <*>. The tree has a fixed depth: a line goes by its number
 of tokens and then by its first three to a leaf. In a leaf, a place keeps a token that more than half of the leaf's
 different lines have there and is variable otherwise; lines that agree with at least six tenths of the places after the
-leading ones, and with three of them or more, share the leaf's template, any other line is its own template. (The leading
-tokens are equal in a leaf anyway and tell nothing.) Tokens with a digit stay where fewer than half of a line's tokens
+leading ones, and with three of them or more, share the leaf's template. (The leading tokens are equal in a leaf anyway
+and tell nothing.) The other lines go on to further groups of the leaf: each takes the token and place that most of them
+share, but not all, and those that take the same are looked at in the same way, until every line has joined a template
+or is alone; then it is its own template. Tokens with a digit stay where fewer than half of a line's tokens
 have none, as nothing but numbers would be left out of such a line. A template that occurs in several documents is recurring: its lines
 are dropped from all documents but the first (least doc_id), so that the text is not lost altogether. Lines of fewer than
 four tokens have no variable places: they recur as they are, in eight documents or more, as few words often meet by chance.
@@ -60,8 +62,9 @@ def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def shared_templates(docs: DataFrame, lines: DataFrame, seen: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """leaf and key of the lines that agree with the template of their leaf, in leaves that hold different lines of
-    different documents. seen: for each leaf and key the least and the greatest doc_id."""
+    """leaf, key and template (own) of the lines that share one, in leaves that hold different lines of different
+    documents. seen: for each leaf and key the least and the greatest doc_id. A round for each level of groups; groups get
+    smaller with every level."""
     mixed = seen.groupBy("leaf").agg(F.count("*").alias("lines"), F.min("low").alias("low"), F.max("high").alias("high")).where("lines > 1 and low <> high").select("leaf", "lines")
     known = seen.join(mixed, "leaf").select("leaf", "key", F.col("low").alias("doc_id"))
     places = lines.join(known, ["leaf", "key", "doc_id"]).groupBy("leaf", "key", "doc_id").agg(F.min("line_no").alias("line_no"))
@@ -70,11 +73,39 @@ def shared_templates(docs: DataFrame, lines: DataFrame, seen: DataFrame, doc_id:
     told = found.select("_id", F.inline(F.transform("_wanted", lambda w: F.struct(w["leaf"].alias("leaf"), w["key"].alias("key"), masked(F.get("_parts", w["line_no"])).alias("masked")))))
     # rows that repeat a doc_id may have other lines there; they are in one partition already
     told = cut(told.where(F.xxhash64("masked") == F.col("key")).dropDuplicates(["_id", "leaf", "key"]).select("leaf", "key", "masked"))
-    tokens = told.select("leaf", "key", F.posexplode(F.split("masked", " ")).alias("place", "token")).where(F.col("place") >= LEADING).select("leaf", "key", F.xxhash64("place", "token").alias("token"))
-    most = tokens.groupBy("leaf", "token").agg(F.count("*").alias("n")).where("n > 1")  # mixed leaves have two lines or more
-    fixed = most.join(mixed, "leaf").where("n * 2 > lines").select("leaf", "token", F.lit(1).alias("agrees"))
-    agree = tokens.join(fixed, ["leaf", "token"], "left").groupBy("leaf", "key").agg(F.count("agrees").alias("agrees"), F.count("*").alias("n_tokens"))
-    return agree.where(F.col("agrees") >= F.greatest(F.lit(MIN_FIXED), AGREE * F.col("n_tokens"))).select("leaf", "key")
+    group, shared = told.select("leaf", "key", F.col("leaf").alias("group")), None
+    while True:
+        judged = cut(_judged(told, group))
+        joined = judged.where("shares").select("leaf", "key", F.col("group").alias("own"))
+        shared = joined if shared is None else shared.unionByName(joined)
+        group = cut(_regrouped(told, judged.where("not shares").select("leaf", "key", "group")))
+        if group.isEmpty():
+            return shared
+
+
+def _tokens(told: DataFrame, group: DataFrame) -> DataFrame:
+    """group, leaf, key and hash of place and token, for the places after the leading ones."""
+    each = told.join(group, ["leaf", "key"]).select("group", "leaf", "key", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+    return each.where(F.col("place") >= LEADING).select("group", "leaf", "key", F.xxhash64("place", "token").alias("token"))
+
+
+def _judged(told: DataFrame, group: DataFrame) -> DataFrame:
+    """leaf, key and group of lines, and whether they share the template of their group."""
+    tokens, sizes = _tokens(told, group), group.groupBy("group").agg(F.count("*").alias("lines"))
+    most = tokens.groupBy("group", "token").agg(F.count("*").alias("n")).where("n > 1")  # groups have two lines or more
+    fixed = most.join(sizes, "group").where("n * 2 > lines").select("group", "token", F.lit(1).alias("agrees"))
+    agree = tokens.join(fixed, ["group", "token"], "left").groupBy("group", "leaf", "key").agg(F.count("agrees").alias("agrees"), F.count("*").alias("n_tokens"))
+    return agree.select("leaf", "key", "group", (F.col("agrees") >= F.greatest(F.lit(MIN_FIXED), AGREE * F.col("n_tokens"))).alias("shares"))
+
+
+def _regrouped(told: DataFrame, group: DataFrame) -> DataFrame:
+    """leaf, key and new group of lines, where two or more take the same token: of those that several lines of the group
+    have, but not all, the most frequent one. So every new group is smaller."""
+    tokens, sizes = _tokens(told, group), group.groupBy("group").agg(F.count("*").alias("lines"))
+    parting = tokens.groupBy("group", "token").agg(F.count("*").alias("n")).where("n > 1").join(sizes, "group").where("n < lines")
+    taken = tokens.join(parting, ["group", "token"]).groupBy("group", "leaf", "key").agg(F.max(F.struct("n", "token")).alias("best"))
+    taken = taken.select("leaf", "key", F.xxhash64("group", "best.token").alias("group"))
+    return taken.join(taken.groupBy("group").agg(F.count("*").alias("lines")).where("lines > 1").select("group"), "group").select("leaf", "key", "group")
 
 
 def _keyed(docs: DataFrame, doc_id: str) -> DataFrame:
@@ -86,8 +117,8 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """doc_id and line_no of the lines that go, once each."""
     lines = cut(lines_of(docs, doc_id, text))
     seen = cut(lines.groupBy("leaf", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
-    shared = shared_templates(docs, lines, seen, doc_id, text).withColumn("shared", F.lit(True))
-    named = seen.join(shared, ["leaf", "key"], "left").withColumn("own", F.when(F.col("shared"), F.lit(0).cast("long")).otherwise(F.col("key")))
+    shared = shared_templates(docs, lines, seen, doc_id, text)
+    named = seen.join(shared, ["leaf", "key"], "left").withColumn("own", F.coalesce("own", "key"))
     recurring = named.groupBy("leaf", "own").agg(F.min("low").alias("stays"), F.max("high").alias("last")).where("stays <> last")
     going = named.where("leaf <> key").join(recurring, ["leaf", "own"]).select("leaf", "key", "stays")
     short = lines.where("leaf = key").select("key", "doc_id").distinct().groupBy("key").agg(F.min("doc_id").alias("stays"), F.count("*").alias("docs"))

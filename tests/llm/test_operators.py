@@ -402,6 +402,13 @@ def test_line_dedup_finds_short_lines(spark):
     assert left_lines(spark, texts) == texts[:1] + [t.split("\n", 1)[1] for t in texts[1:]]
 
 
+def test_line_dedup_finds_several_templates_of_a_leaf(spark):
+    names = "ann bob cid dan eve fay".split()
+    forms = ["Connection to server lost after restart by user {}", "Connection to server opened again from host of {}", "Connection to server {} refused since licenses ran out"]
+    texts = [form.format(name) for name in names for form in forms] + ["Connection to server works very well today my friend"]
+    assert left_lines(spark, texts) == [t if i < 3 or i == len(texts) - 1 else "" for i, t in enumerate(texts)]
+
+
 @pytest.mark.parametrize("blocks", [1, 3])
 @pytest.mark.parametrize(("small", "batch"), [(64, 50), (4, 7), (1000, 1000)])
 def test_links_of_sorted_groups_against_brute_force(monkeypatch, blocks, small, batch):
