@@ -23,13 +23,37 @@ ROUNDS = 8
 FIRST_DAY, DATE_SIDE = "1900-01-01", 270
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Characters of an IBAN by country, and digits after the country code of phone numbers: those values end there, whatever
+#: follows. Other countries have the general shapes.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+PHONE_DIGITS = {8: "45 47 65", 9: "27 31 33 34 41 48 61", 10: "1 7 20 44 52 90 91", 11: "86"}
+
+
+def _iban_shape() -> str:
+    each = [rf"(?:{'|'.join(c.split())})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items()]
+    known = "|".join(c for codes in IBAN_LENGTHS.values() for c in codes.split())
+    other = rf"(?!{known}|[0-9A-F]{{32}})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+    return rf"(?<![\w+])(?:{'|'.join([*each, other])})(?!\w)"
+
+
+def _phone_shape() -> str:
+    known = [rf"\+(?:{'|'.join(codes.split())})(?:[ .-]?\(?\d\)?){{{n}}}(?![\w-])" for n, codes in PHONE_DIGITS.items()]
+    other = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2}(?:[ .-]?\d{2,4}(?![./:]\d))?"
+    return rf"(?<![\w+])(?:{'|'.join(known)}|{other}|\(\d{{3}}\) ?\d{{3}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}})(?![\w-])"
+
+
 #: Fixed shapes of values; what they match is validated afterwards.
 SHAPES = {
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z])",
     "secret": r"(?<![0-9A-Za-z])(?=[0-9a-f]{32})(?<=\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key) ?[=:] ?[\"']?)[0-9a-f]{32,64}(?![0-9A-Za-z])",
-    "iban": r"(?<![\w+])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "iban": _iban_shape(),
     "ipv4": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])",
+    "phone": _phone_shape(),
     "ssn": r"(?<![\w+-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "date": r"(?<![\w./+-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-])",
     "card": r"(?<![\w+])(?:\d{4}(?<s>[ -]?)\d{4}\k<s>\d{4}\k<s>\d{4}|\d{4}(?<u>[ -]?)\d{6}\k<u>\d{5}|\d{13,19})(?!\w)",

@@ -93,6 +93,21 @@ def test_pii(spark):
     assert other.text != got[2].text
 
 
+def found_in(spark, texts):
+    got = {r.doc_id: r for r in pii.pseudonymise(docs_of(spark, list(enumerate(texts))), "k").collect()}
+    return [[(x.kind, t[x.start : x.start + x.length], x.pseudonym) for x in got[i].pii] for i, t in enumerate(texts)]
+
+
+def test_pii_of_neighbouring_values(spark):
+    phones, ibans = ["+1 (826) 555-4081", "+44 20 7946 0958", "+33 1 42 68 53 00", "(826) 555-4081", "+49 30 1234 5678"], ["ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]
+    after = [("ipv4", "190.137.223.204"), ("date", "1990-02-28"), ("date", "28/02/1990"), ("card", "4994 2260 2090 0891"), ("ssn", "078-05-1120")]
+    pairs = [(("phone", v), a) for v in phones for a in after[:3]] + [(("phone", v), (None, "1990")) for v in phones[:4]] + [(("phone", v), a) for v in phones[:4] for a in after[3:]]
+    pairs += [(("iban", v), a) for v in ibans for a in [*after, (None, "1990"), (None, "AND")]]
+    got = found_in(spark, [f"{v} {w}" for (_, v), (_, w) in pairs] + [v for (_, v), _ in pairs])
+    for (value, other), both, alone in zip(pairs, got, got[len(pairs) :], strict=False):
+        assert [x[:2] for x in both] == [x for x in (value, other) if x[0]] and both[0] == alone[0]
+
+
 def test_pii_is_a_permutation(spark):
     n = 400
     df = spark.range(n).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"), F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
