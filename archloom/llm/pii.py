@@ -6,8 +6,8 @@ depends on the key and the kind of value alone, so a value has the same pseudony
 share one (day-first and month-first dates that read the same aside). Numbers that fail validation stay as they are.
 
 Kinds: email (local part; the domain stays), card (13 to 19 digits, Luhn), iban (mod 97), ipv4, phone (international or
-in US form; the country code stays), ssn (US ranges), date (1900-01-01 up to 72,900 days on), secret (hexadecimal after
-a word like token or password).
+in US form; the country code stays), ssn (US ranges), date (years 1 to 9999; it stays in its range of DATE_RANGES), secret
+(hexadecimal after a word like token or password, in any case).
 
 Null text gives null text and no values; an empty text stays empty. Texts of any length are treated whole; repeated rows
 give repeated results; other columns pass through, and columns named like the results are replaced.
@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 #: Rounds of each Feistel network, both halves changed four times.
 ROUNDS = 8
 FIRST_DAY, DATE_SIDE = "1900-01-01", 270
+#: Ranges of dates that are permuted apart: the first day, counted from FIRST_DAY, and two sides whose product is the days.
+#: Their first days are 0001-01-01, 1600-01-01, 1900-01-01, 2099-08-05 and 2200-01-01; the last ends with 9999-12-31.
+DATE_RANGES = [(-693595, 654, 893), (-109573, 1387, 79), (0, DATE_SIDE, DATE_SIDE), (DATE_SIDE**2, 91, 403), (109573, 233, 12227)]
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Characters of an IBAN by country, and digits after the country code of phone numbers: those values end there, whatever
@@ -50,12 +53,12 @@ def _phone_shape() -> str:
 #: Fixed shapes of values; what they match is validated afterwards.
 SHAPES = {
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9a-f]{32})(?<=\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key) ?[=:] ?[\"']?)[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{32})(?<=\b(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key) ?[=:] ?[\"']?)[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
     "iban": _iban_shape(),
     "ipv4": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
     "phone": _phone_shape(),
     "ssn": r"(?<![\w+-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "date": r"(?<![\w./+-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-])",
+    "date": r"(?<![\w./+-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?:(?![\w/-])|(?=T\d{2}(?!\d)))",
     "card": r"(?<![\w+])(?:\d{4}(?<s>[ -]?)\d{4}\k<s>\d{4}\k<s>\d{4}|\d{4}(?<u>[ -]?)\d{6}\k<u>\d{5}|\d{13,19})(?!\w)",
 }
 _WITH_DIGITS = [v for k, v in SHAPES.items() if k not in ("email", "secret", "iban")]
@@ -148,12 +151,12 @@ def kind_of(value: Column) -> Column:
     offset = F.date_diff(_day(value), F.lit(FIRST_DAY).cast("date"))
     return (
         F.when(value.contains("@"), "email")
-        .when(value.rlike("^[0-9a-f]{32,64}$"), "secret")
+        .when(value.rlike("^[0-9A-Fa-f]{32,64}$"), "secret")
         .when(value.rlike("^[A-Z]"), F.when(mod97(F.concat(solid.substr(F.lit(5), F.length(solid)), solid.substr(1, 4))) == 1, "iban"))
         .when(value.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ipv4")
         .when(value.rlike(r"^\+|^\(|^\d{3}-\d{3}-"), "phone")
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(~digits.rlike(r"^(000|666|9)|^...00|0000$"), "ssn"))
-        .when(value.rlike(r"^\d{4}-\d{2}-\d{2}$|[/.]"), F.when(offset.between(0, DATE_SIDE**2 - 1), "date"))
+        .when(value.rlike(r"^\d{4}-\d{2}-\d{2}$|[/.]"), F.when(offset.between(DATE_RANGES[0][0], DATE_RANGES[-1][0] + DATE_RANGES[-1][1] * DATE_RANGES[-1][2] - 1), "date"))
         .when((luhn_sum(digits, 1) % 10 == 0) & (F.length(digits) >= 13) & digits.rlike("[1-9]"), "card")
     )
 
@@ -185,14 +188,23 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     ssn = let(s, lambda s: F.concat_ws("-", padded(F.when(s["a"] >= 665, s["a"] + 2).otherwise(s["a"] + 1), 3), padded(F.floor(s["b"] / 9999) + 1, 2), padded(s["b"] % 9999 + 1, 4)))
 
     offset = F.date_diff(_day(value), F.lit(FIRST_DAY).cast("date"))
-    d = let(offset, lambda n: permute_pair(F.floor(n / DATE_SIDE), n % DATE_SIDE, DATE_SIDE, DATE_SIDE, key, "date"))
+
+    def moved_day(n: Column) -> Column:
+        out = F.when(F.lit(False), n)
+        for first, a, b in DATE_RANGES:
+            to = let(permute_pair(F.floor((n - first) / b), (n - first) % b, a, b, key, "date" + (str(first) if first else "")), lambda d: d["a"] * b + d["b"] + first)  # noqa: B023
+            out = out.when(n.between(first, first + a * b - 1), to)
+        return out
+
     parts, mark = F.split(value, "[-/.]"), F.regexp_extract(value, "[-/.]", 0)
     month_first = F.try_to_date(F.concat_ws("-", parts[2], F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0")), "yyyy-MM-dd").isNull()
     written = lambda day, *forms: F.concat(F.date_format(day, forms[0]), mark, F.date_format(day, forms[1]), mark, F.date_format(day, "yyyy"))
     shown = lambda day: F.when(value.rlike(r"^\d{4}-"), F.date_format(day, "yyyy-MM-dd")).when(month_first, written(day, "MM", "dd")).otherwise(written(day, "dd", "MM"))
-    date = let(d, lambda d: let(F.date_add(F.lit(FIRST_DAY).cast("date"), (d["a"] * DATE_SIDE + d["b"]).cast("int")), shown))
+    date = let(let(offset, moved_day), lambda n: let(F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int")), shown))
 
-    secret = permute_string(value, key, "secret", letters=6)
+    small = F.lower(value)
+    plain = permute_string(small, key, "secret", letters=6)
+    secret = F.when(value == small, plain).when(value == F.upper(value), F.upper(plain)).otherwise(permute_string(value, key, "secret", letters=6))
     by_kind = {"email": email, "secret": secret, "iban": iban, "ipv4": ipv4, "phone": phone, "ssn": ssn, "date": date, "card": card}
     out = F.when(F.lit(False), value)
     for name, new in by_kind.items():

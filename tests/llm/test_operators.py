@@ -108,6 +108,22 @@ def test_pii_of_neighbouring_values(spark):
         assert [x[:2] for x in both] == [x for x in (value, other) if x[0]] and both[0] == alone[0]
 
 
+def test_pii_of_any_case_and_time(spark):
+    secret = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    days = ["1890-05-04", "0001-01-01", "1599-12-31", "1600-01-01", "1899-12-31", "2099-08-04", "2099-08-05", "2199-12-31", "2200-01-01", "9999-12-31"]
+    got = found_in(spark, [f"token = {secret}", f'TOKEN = "{secret.upper()}"', f"Token: {secret}", f"no word {secret.upper()}", "born 1990-02-28T12:00:00Z", "born 1990-02-28", "1990-02-28Tx", *days, "0000-01-01"])
+    assert [x[0][:2] for x in got[:3]] == [("secret", secret), ("secret", secret.upper()), ("secret", secret)] and got[0][0][2] == got[2][0][2] == got[1][0][2].lower() != secret
+    assert got[1][0][2].isupper() and got[3] == got[6] == got[-1] == [] and got[4] == got[5] != []
+    assert [x[0][:2] for x in got[7:-1]] == [("date", d) for d in days]
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\d", x[0][2]) and x[0][2] != x[0][1] for x in got[7:-1])
+
+
+def test_early_and_late_dates_are_permuted(spark):
+    df = spark.sql("select date_format(day, 'yyyy-MM-dd') d from (select explode(sequence(date'1600-01-01', date'1899-12-31')) day union all select explode(sequence(date'2099-08-05', date'2199-12-31')))").where("substr(d, 9) < '04'")
+    got = df.select("d", pii.pseudonym(F.col("d"), F.lit("date"), "k").alias("p"))
+    assert got.where("(d < '1900') = (p between '1600' and '1900') and (d > '2000') = (p between '2099-08-05' and '2200')").select("p").distinct().count() == df.count()
+
+
 def test_pii_is_a_permutation(spark):
     n = 400
     df = spark.range(n).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"), F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
