@@ -138,8 +138,18 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
     records = cut(distinct.mapInArrow(hashed, "id bigint, many bigint, weight int, keys array<bigint>, payload binary"))
 
     def prepare(payloads: list[bytes]):
-        x = _unit(payloads)
-        return lambda i, near: x[near] @ x[i] >= threshold
+        lengths = np.array([len(p) for p in payloads])
+        place, units = np.zeros(len(payloads), int), {}
+        for length in np.unique(lengths):
+            at = np.flatnonzero(lengths == length)
+            place[at], units[length] = np.arange(len(at)), _unit([payloads[i] for i in at])
+
+        def linked(i: int, near: np.ndarray) -> np.ndarray:
+            x, same = units[lengths[i]], lengths[near] == lengths[i]
+            same[same] = x[place[near[same]]] @ x[place[i]] >= threshold
+            return same
+
+        return linked
 
     linked = find_links(records, lambda need: records.select("id", "payload").join(need, "id"), prepare)
     joined = distinct.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))

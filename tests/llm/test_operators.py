@@ -213,6 +213,12 @@ def test_embedding_links(spark, groups, monkeypatch):
     assert embed_dedup.link_vectors(vectors.limit(0)).count() == 0
 
 
+def test_embedding_links_of_two_lengths(spark):
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.01]), (3, [3.0, 1.0, 2.0, 5.0]), (4, [3.0, 1.0, 2.0, 5.01]), (5, [-3.0, 1.0, 2.0, -5.0])]
+    got = embed_dedup.link_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+
+
 def test_bands():
     b, r = ngram_join.bands_for()
     assert 1 - (1 - 0.8**r) ** b >= 0.995 and b * r <= 160
