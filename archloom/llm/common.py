@@ -1,22 +1,26 @@
-"""Shared helpers: the folder every executor sees, lineage cuts, Arrow iteration."""
+"""Shared helpers: the folder every executor sees, lineage cuts, free column names."""
 
 from __future__ import annotations
 
+import re
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from uuid import uuid4
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder named by the session (spark.checkpoint.dir); one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir, or by the context. Only a local session may have one of its own, as executors
+    elsewhere wouldn't see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="archloom-checkpoint-"))
-    return named or context.getCheckpointDir()
+    if not named and context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="archloom-checkpoint-"))
+    return (named or context.getCheckpointDir()).rstrip("/")
 
 
 #: Makes Spark delete a finished execution's shuffle files.
@@ -24,16 +28,33 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there; survives lost executors. The shuffle files that led to
-    them are deleted, as nothing reads them again."""
+    """Write the rows as a table in the shared folder and go on from there; survives lost executors. The shuffle files that
+    led to them are deleted, as nothing reads them again. Columns of ids and hashes take much less room than in a checkpoint."""
     spark = frame.sparkSession
-    shared_dir(spark)
+    folder = f"{shared_dir(spark)}/cut-{uuid4().hex}"
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")
     try:
-        return frame.select("*").checkpoint(eager=True)  # a frame of its own, which no other action runs
+        frame.select("*").write.parquet(folder)  # a frame of its own, which no other action runs
     finally:
         spark.conf.set(_CLEAN, before)
+    return spark.read.schema(frame.schema).parquet(folder)
+
+
+def free(frame: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of the frame has, in any case."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once."""
+    return F.transform(F.array(value), then)[0]
 
 
 def whole_text(name: str = "text") -> Column:
@@ -44,21 +65,3 @@ def whole_text(name: str = "text") -> Column:
 def learned_split(doc_id: str, modulus: int) -> Column:
     """crc32 of the decimal doc_id, modulo the number of folds."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
-
-
-def arrow_rows(batches: Iterator[pa.RecordBatch], of: Callable[..., tuple], names: list[str], schema: pa.Schema, block: int = 2048, cells: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Map rows one by one: of(values of names) gives the values of schema. A batch ends after so many rows or bytes of output."""
-    out: list[list] = [[] for _ in schema]
-    held = 0
-    for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-        for i in range(batch.num_rows):
-            row = of(*(c[i].as_py() for c in columns))
-            for kept, value in zip(out, row, strict=True):
-                kept.append(value)
-                held += len(value) if isinstance(value, str | bytes | list) else 1
-            if len(out[0]) >= block or held >= cells:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-                out, held = [[] for _ in schema], 0
-    if out[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
