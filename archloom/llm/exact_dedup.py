@@ -10,7 +10,8 @@ each hash. The classes then go back to the documents by hash, a join whose skewe
 
 Null text counts as empty; empty texts are equal to each other. Of equal texts the row with the largest doc_id stays;
 rows that repeat a doc_id as well stay once; a null doc_id comes before all others. Other columns are ignored by
-`classes` and passed through by `drop_copies`.
+`classes` and passed through by `drop_copies`, which keeps any one of rows that repeat text and doc_id. No row numbers are
+used, so that a task that runs again gives the same rows.
 """
 
 from __future__ import annotations
@@ -25,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archloom.llm.common import whole_text
+from archloom.llm.common import cut, free, whole_text
 
 #: Bytes of contents that a task's table holds before it spills.
 TABLE_BYTES = 48 << 20
 FANOUT, LEVELS = 16, 64
 NO_ID = -(1 << 63)
 
-Record = tuple[bytes, bytes, int, int, int, int]  # hash, content, doc_id, row, rows with that doc_id, rows
+#: Copies of a row with one doc_id that `classes` returns from one array.
+RUN = 4096
+
+Record = tuple[bytes, bytes, int, int, int]  # hash, content, doc_id, rows with that doc_id, rows
 
 
 class ContentTable:
@@ -55,15 +59,15 @@ class ContentTable:
 
     def add(self, record: Record, room: float) -> bool:
         """Merge the record into its content's entry; a new entry only while there is room. False: not taken."""
-        hashed, content, doc, row, ties, n = record
+        hashed, content, doc, ties, n = record
         i = self._slot(hashed, content)
         if self.slots[i] >= 0:
             entry = self.entries[self.slots[i]]
-            entry[5] += n
+            entry[4] += n
             if doc > entry[2]:
-                entry[2:5] = doc, row, ties
+                entry[2:4] = doc, ties
             elif doc == entry[2]:
-                entry[3], entry[4] = min(row, entry[3]), entry[4] + ties
+                entry[3] += ties
             return True
         if self.bytes and self.bytes + len(content) > room:
             return False
@@ -84,14 +88,14 @@ class ContentTable:
             self.slots[i] = e
 
 
-_HEAD = struct.Struct("<32sqqqqq")
+_HEAD = struct.Struct("<32sqqqq")
 
 
 def _read(path: str) -> Iterator[Record]:
     with open(path, "rb") as lines:
         while head := lines.read(_HEAD.size):
-            hashed, doc, row, ties, n, size = _HEAD.unpack(head)
-            yield hashed, lines.read(size), doc, row, ties, n
+            hashed, doc, ties, n, size = _HEAD.unpack(head)
+            yield hashed, lines.read(size), doc, ties, n
     os.unlink(path)
 
 
@@ -104,8 +108,8 @@ def grace(records: Iterable[Record], room: float = TABLE_BYTES, level: int = 0)
                 part = record[0][level // 2] >> (4 if level % 2 == 0 else 0) & FANOUT - 1
                 if part not in files:
                     files[part] = open(f"{folder}/{part}.spill", "wb")
-                hashed, content, doc, row, ties, n = record
-                files[part].write(_HEAD.pack(hashed, doc, row, ties, n, len(content)) + content)
+                hashed, content, doc, ties, n = record
+                files[part].write(_HEAD.pack(hashed, doc, ties, n, len(content)) + content)
         for entry in table.entries:
             yield tuple(entry)
         del table
@@ -114,8 +118,8 @@ def grace(records: Iterable[Record], room: float = TABLE_BYTES, level: int = 0)
             yield from grace(_read(f"{folder}/{part}.spill"), room, level + 1)
 
 
-_FIELDS = "hash binary, content binary, doc bigint, row bigint, ties bigint, n bigint"
-_SCHEMA = pa.schema([("hash", pa.binary()), ("content", pa.binary()), ("doc", pa.int64()), ("row", pa.int64()), ("ties", pa.int64()), ("n", pa.int64())])
+_FIELDS = "hash binary, content binary, doc bigint, ties bigint, n bigint"
+_SCHEMA = pa.schema([("hash", pa.binary()), ("content", pa.binary()), ("doc", pa.int64()), ("ties", pa.int64()), ("n", pa.int64())])
 
 
 def _task(room: int, keep_content: bool):
@@ -139,29 +143,36 @@ def _task(room: int, keep_content: bool):
 
 
 def _groups(rows: DataFrame, room: int) -> DataFrame:
-    """A row for each content: its hash, the row that stays, how many rows share its doc_id, how many there are."""
-    records = rows.select("hash", "content", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "row", F.lit(1).cast("long").alias("ties"), F.lit(1).cast("long").alias("n"))
+    """A row for each content: its hash, the doc_id that stays, how many of its rows have that doc_id, how many there are."""
+    one = F.lit(1).cast("long")
+    records = rows.select("hash", "content", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), one.alias("ties"), one.alias("n"))
     local = records.mapInArrow(_task(room, True), _FIELDS)
     groups = local.repartition("hash").mapInArrow(_task(room, False), _FIELDS)
-    return groups.select("hash", F.nullif("doc", F.lit(NO_ID)).alias("keep_id"), F.col("row").alias("keep_row"), "ties", F.col("n").alias("group_size"))
+    return groups.select("hash", F.nullif("doc", F.lit(NO_ID)).alias("keep_id"), "ties", F.col("n").alias("group_size"))
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     content = whole_text(text).cast("binary")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(content, 256)).alias("hash"), content.alias("content"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.sha2(content, 256)).alias("hash"), content.alias("content"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", room: int = TABLE_BYTES) -> DataFrame:
-    """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256. Rows that repeat doc_id and text are counted
+    before they are shuffled, and listed again afterwards."""
     rows = _rows(docs, doc_id, text)
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & ((F.col("ties") == 1) | (F.col("row") == F.col("keep_row")))
-    found = rows.drop("content").join(_groups(rows, room), "hash")
-    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("hash")).alias("text_sha256"))
+    counted = rows.groupBy("hash", "doc_id").agg(F.count("*").alias("copies"))
+    found = counted.join(_groups(rows, room), "hash").withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / RUN))))
+    each = F.explode(F.sequence(F.col("run") * RUN + 1, F.least("copies", (F.col("run") + 1) * RUN)))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
+    return found.withColumn("copy", each).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("hash")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", room: int = TABLE_BYTES) -> DataFrame:
     """docs without the rows that don't stay, all columns as they were."""
-    groups = _groups(_rows(docs, doc_id, text), room).select(F.col("keep_id").alias("_id"), F.col("keep_row").alias("_row_kept"), F.col("ties").alias("_ties"), F.col("hash").alias("_hash_kept"))
-    rows = docs.withColumns({"_row": F.monotonically_increasing_id(), "_hash": F.unhex(F.sha2(whole_text(text).cast("binary"), 256))})
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_hash_kept")) & ((F.col("_ties") == 1) | (F.col("_row") == F.col("_row_kept")))
-    return rows.join(groups, same, "left_semi").drop("_row", "_hash")
+    _id, _hash, _keep, _key, _ties = free(docs, "_id", "_hash", "_keep", "_key", "_ties")
+    groups = cut(_groups(_rows(docs, doc_id, text), room).select(F.col("keep_id").alias(_keep), F.col("hash").alias(_key), F.col("ties").alias(_ties)))
+    rows = docs.withColumns({_id: F.col(doc_id).cast("long"), _hash: F.unhex(F.sha2(whole_text(text).cast("binary"), 256))})
+    same = F.col(_id).eqNullSafe(F.col(_keep)) & (F.col(_hash) == F.col(_key))
+    once = rows.join(groups.where(F.col(_ties) == 1), same, "left_semi")
+    repeated = rows.join(groups.where(F.col(_ties) > 1), same, "left_semi").dropDuplicates([_id, _hash])
+    return once.unionByName(repeated).select(docs.columns)
