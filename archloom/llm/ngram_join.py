@@ -8,8 +8,8 @@ full sets (see links).
 
 Documents with the same set are one class, which is compared once and counts as often as it occurs. Texts without words
 (null and empty ones too) link with nothing. Rows that repeat a doc_id count as documents of their own. A null doc_id
-links with nothing. Other columns are ignored, and passed through by `drop_near_copies`, which keeps the least doc_id of
-each component.
+links with nothing. Other columns are ignored, and passed through by `drop_near_copies`, which keeps one row of each
+component: the least doc_id, of rows that repeat it the least hash of a text, and any one of rows that repeat both.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archloom.llm.common import cut
+from archloom.llm.common import cut, free
 from archloom.llm.links import find_links
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
@@ -89,18 +89,23 @@ class MinHash:
         return ((h ^ (h >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)).view(np.int64)
 
 
+def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, a hash of the text that tells rows of one doc_id apart, and the text."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+
+
 def _signatures(docs: DataFrame, doc_id: str, text: str, n: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hasher = WordHashes(), MinHash(bands, rows)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part, out = batch.slice(start, 512), []
-                for t in part.column(1):
+                for t in part.column(2):
                     grams = ngrams(t.as_py(), known, n)
                     out.append((xxhash.xxh3_128_digest(grams.tobytes()), len(grams), hasher.keys(grams)) if len(grams) else (None, 0, None))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[i] for x in out], k) for i, k in enumerate((pa.binary(), pa.int32(), pa.list_(pa.int64()))))], names=["doc_id", "set", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([x[i] for x in out], k) for i, k in enumerate((pa.binary(), pa.int32(), pa.list_(pa.int64()))))], names=["doc_id", "row", "set", "size", "keys"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, set binary, size int, keys array<bigint>")
+    return _named(docs, doc_id, text).mapInArrow(run, "doc_id bigint, row bigint, set binary, size int, keys array<bigint>")
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
@@ -143,33 +148,46 @@ def jaccard_links(threshold: float):
     return prepare
 
 
-def link_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, n_links (documents that it is linked with), component_id (the least doc_id that
-    links lead to), kept (doc_id = component_id)."""
+def _components(docs: DataFrame, threshold: float, recall: float, n: int, doc_id: str, text: str) -> DataFrame:
+    """A row for each row of docs: doc_id, row, n_links, and first, the least doc_id and row that links lead to (its own
+    where it links with nothing, null for a null doc_id)."""
     bands, rows = bands_for(threshold, recall)
     signed = cut(_signatures(docs, doc_id, text, n, bands, rows))
-    usable = signed.where("set is not null and doc_id is not null")
-    same = usable.groupBy("set").agg(F.min("doc_id").alias("first"), F.count("*").alias("many"), F.min_by("keys", "doc_id").alias("keys"), F.max("size").alias("size"))
+    usable = signed.where("set is not null and doc_id is not null").withColumn("first", F.struct("doc_id", "row"))
+    same = usable.groupBy("set").agg(F.min("first").alias("first"), F.count("*").alias("many"), F.min_by("keys", "first").alias("keys"), F.max("size").alias("size"))
     # a class goes by a hash of its set; the documents that stand for classes are found by doc_id and set
     classes = cut(same.select(F.xxhash64("set").alias("id"), "set", "first", "many", "keys", (F.col("size") * 8).alias("weight")))
 
     def payloads(need: DataFrame) -> DataFrame:
-        chosen = classes.join(need, "id").select("id", F.col("set").alias("_set"), F.col("first").alias("_first"))
-        texts = docs.join(chosen.select("_first").distinct(), F.col(doc_id).cast("long") == F.col("_first"), "left_semi")
-        made = _sets(texts, doc_id, text, n)
-        return made.join(chosen, (F.col("doc_id") == F.col("_first")) & (F.col("set") == F.col("_set"))).select("id", "payload")
+        chosen = classes.join(need, "id").select("id", F.col("set").alias("_set"), F.col("first.doc_id").alias("_doc"), F.col("first.row").alias("_row"))
+        texts = _named(docs, doc_id, text).join(chosen.select(F.col("_doc").alias("doc_id"), F.col("_row").alias("row")), ["doc_id", "row"], "left_semi")
+        made = _sets(texts, "doc_id", "text", n)
+        return made.join(chosen, (F.col("doc_id") == F.col("_doc")) & (F.col("set") == F.col("_set"))).select("id", "payload")
 
     linked = find_links(classes.select("id", "many", "weight", "keys"), payloads, jaccard_links(threshold))
-    # components go by class; name each by its least doc_id
+    # components go by class; name each by its least document
     joined = classes.select("id", "set", "first", "many").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    found = joined.join(named, "component").select(F.col("set").alias("_set"), (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n"), "component_id")
-    out = signed.select("doc_id", "set").join(found, (F.col("set") == F.col("_set")) & F.col("doc_id").isNotNull(), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = joined.groupBy("component").agg(F.min("first").alias("first"))
+    found = joined.drop("first").join(named, "component").select(F.col("set").alias("_set"), (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n"), "first")
+    out = signed.select("doc_id", "row", "set").join(found, (F.col("set") == F.col("_set")) & F.col("doc_id").isNotNull(), "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))
+    return out.select("doc_id", "row", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", own).alias("first"))
+
+
+def link_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each row of docs: doc_id, n_links (documents that it is linked with), component_id (the least doc_id that
+    links lead to), kept (doc_id = component_id)."""
+    found = _components(docs, threshold, recall, n, doc_id, text)
+    return found.select("doc_id", "n_links", F.col("first.doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("first.doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that aren't the first of their component."""
-    gone = link_documents(docs, threshold, doc_id=doc_id, text=text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    _id, _row = free(docs, "_id", "_row")
+    found = _components(docs, threshold, RECALL, WORDS, doc_id, text).where("doc_id is not null and n_links > 0")
+    linked = cut(found.select(F.col("doc_id").alias(_id), F.col("row").alias(_row), (F.struct("doc_id", "row") == F.col("first")).alias("first")))
+    gone = linked.where("not first").drop("first")
+    repeated = cut(linked.where("first").groupBy(_id, _row).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    rows = docs.withColumns({_id: F.col(doc_id).cast("long"), _row: F.xxhash64(text)})
+    once = rows.join(gone.unionByName(repeated), [_id, _row], "left_anti")
+    return once.unionByName(rows.join(repeated, [_id, _row], "left_semi").dropDuplicates([_id, _row])).select(docs.columns)
