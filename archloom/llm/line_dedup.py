@@ -17,8 +17,9 @@ at in leaves with different lines in different documents only, of one line for e
 they are shuffled.
 
 Null text stays null and has no lines; an empty text stays empty. A document without dropped lines is returned as it was.
-Rows that repeat a doc_id are one document, so their equal lines don't recur; rows with a null doc_id stay as they are.
-Other columns pass through, and columns named like the results are replaced.
+Rows that repeat a doc_id are one document, so their equal lines don't recur; each row loses its own lines, as rows go by
+doc_id and a hash of their text. Rows with a null doc_id stay as they are. Other columns pass through, and columns named
+like the results are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archloom.llm.common import cut
+from archloom.llm.common import cut, free, let
 
 LEADING, MIN_TOKENS, AGREE = 3, 4, 0.6
 #: Places after the leading ones that a template of different lines has to fix at least.
@@ -49,16 +50,16 @@ def n_tokens(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line number, leaf and line hashes, of the lines that aren't blank. A short line is a leaf of its own, and both
-    its hashes are the same. Whether masking can change any line is told from the whole text."""
+    """doc_id, row (hash of the text), line number, leaf and line hashes, of the lines that aren't blank. A short line is a leaf
+    of its own, and both its hashes are the same. Whether masking can change any line is told from the whole text."""
     changes = F.col(text).rlike(r"[0-9]|[^\S \n]|  |\n | \n|^ | $")
     # in a projection of its own: beside the generator it would be computed again for each line
-    told = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), changes.alias("changes"), F.col(text).alias("text"))
-    each = told.select("doc_id", "changes", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    each = each.select("doc_id", "line_no", F.when(F.col("changes"), masked(F.col("line"))).otherwise(F.col("line")).alias("masked"))
+    told = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), changes.alias("changes"), F.col(text).alias("text"))
+    each = told.select("doc_id", "row", "changes", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    each = each.select("doc_id", "row", "line_no", F.when(F.col("changes"), masked(F.col("line"))).otherwise(F.col("line")).alias("masked"))
     each = each.withColumn("n_tokens", n_tokens(F.col("masked"))).where("masked <> ''").withColumn("key", F.xxhash64("masked"))
     leaf = F.when(F.col("n_tokens") < MIN_TOKENS, F.col("key")).otherwise(F.xxhash64("n_tokens", F.substring_index("masked", " ", LEADING)))
-    return each.select("doc_id", "line_no", leaf.alias("leaf"), "key")
+    return each.select("doc_id", "row", "line_no", leaf.alias("leaf"), "key")
 
 
 def shared_templates(docs: DataFrame, lines: DataFrame, seen: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -67,12 +68,13 @@ def shared_templates(docs: DataFrame, lines: DataFrame, seen: DataFrame, doc_id:
     smaller with every level."""
     mixed = seen.groupBy("leaf").agg(F.count("*").alias("lines"), F.min("low").alias("low"), F.max("high").alias("high")).where("lines > 1 and low <> high").select("leaf", "lines")
     known = seen.join(mixed, "leaf").select("leaf", "key", F.col("low").alias("doc_id"))
-    places = lines.join(known, ["leaf", "key", "doc_id"]).groupBy("leaf", "key", "doc_id").agg(F.min("line_no").alias("line_no"))
-    wanted = places.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("leaf", "key", "line_no")).alias("_wanted"))
-    found = _keyed(docs, doc_id).join(wanted, F.col("_id") == F.col("_doc")).withColumn("_parts", F.split(text, "\n"))
-    told = found.select("_id", F.inline(F.transform("_wanted", lambda w: F.struct(w["leaf"].alias("leaf"), w["key"].alias("key"), masked(F.get("_parts", w["line_no"])).alias("masked")))))
-    # rows that repeat a doc_id may have other lines there; they are in one partition already
-    told = cut(told.where(F.xxhash64("masked") == F.col("key")).dropDuplicates(["_id", "leaf", "key"]).select("leaf", "key", "masked"))
+    places = lines.join(known, ["leaf", "key", "doc_id"]).groupBy("leaf", "key", "doc_id").agg(F.min(F.struct("row", "line_no")).alias("at"))
+    wanted = places.groupBy("doc_id", "at.row").agg(F.collect_list(F.struct("leaf", "key", "at.line_no")).alias("wanted"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    found = texts.join(wanted, ["doc_id", "row"]).withColumn("parts", F.split("text", "\n"))
+    told = found.select("doc_id", "row", F.inline(F.transform("wanted", lambda w: F.struct(w["leaf"].alias("leaf"), w["key"].alias("key"), masked(F.get("parts", w["line_no"])).alias("masked")))))
+    # equal rows are in one partition already
+    told = cut(told.dropDuplicates(["doc_id", "row", "leaf", "key"]).select("leaf", "key", "masked"))
     group, shared = told.select("leaf", "key", F.col("leaf").alias("group")), None
     while True:
         judged = cut(_judged(told, group))
@@ -108,13 +110,8 @@ def _regrouped(told: DataFrame, group: DataFrame) -> DataFrame:
     return taken.join(taken.groupBy("group").agg(F.count("*").alias("lines")).where("lines > 1").select("group"), "group").select("leaf", "key", "group")
 
 
-def _keyed(docs: DataFrame, doc_id: str) -> DataFrame:
-    """docs with an id; both joins on it start from this, so that Spark shuffles the texts once for the two."""
-    return docs.withColumn("_id", F.col(doc_id).cast("long")).where("_id is not null")
-
-
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and line_no of the lines that go, once each."""
+    """doc_id, row and line_no of the lines that go; equal rows give equal ones."""
     lines = cut(lines_of(docs, doc_id, text))
     seen = cut(lines.groupBy("leaf", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
     shared = shared_templates(docs, lines, seen, doc_id, text)
@@ -123,16 +120,23 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     going = named.where("leaf <> key").join(recurring, ["leaf", "own"]).select("leaf", "key", "stays")
     short = lines.where("leaf = key").select("key", "doc_id").distinct().groupBy("key").agg(F.min("doc_id").alias("stays"), F.count("*").alias("docs"))
     going = going.unionByName(short.where(F.col("docs") >= SHORT_DOCS).select(F.col("key").alias("leaf"), "key", "stays"))
-    return lines.join(going, ["leaf", "key"]).where("doc_id <> stays").select("doc_id", "line_no")
+    return lines.join(going, ["leaf", "key"]).where("doc_id <> stays").select("doc_id", "row", "line_no")
 
 
 def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the lines gone from `text`, the number of lines before, and the number that went."""
-    going = dropped_lines(docs, doc_id, text).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_going"))
-    joined = _keyed(docs, doc_id).join(going, F.col("_id") == F.col("_doc"), "left").drop("_id", "_doc")
-    joined = joined.unionByName(docs.where(F.col(doc_id).isNull()).withColumn("_going", F.lit(None).cast("array<int>")))
+    _id, _row, _going, _left = free(docs, "_id", "_row", "_going", "_left")
+    going = dropped_lines(docs, doc_id, text).groupBy(F.col("doc_id").alias(_id), F.col("row").alias(_row)).agg(F.sort_array(F.collect_set("line_no")).alias(_going))
+    keyed = docs.withColumns({_id: F.col(doc_id).cast("long"), _row: F.xxhash64(text)})
+    joined = keyed.where(F.col(_id).isNotNull()).join(going, [_id, _row], "left").select(*docs.columns, _going)
+    joined = joined.unionByName(docs.where(F.col(doc_id).isNull()).withColumn(_going, F.lit(None).cast("array<int>")))
     parts = F.split(text, "\n")
-    left = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("_going", i)), "\n")
-    rest = F.when(F.col("_going").isNotNull(), left).otherwise(F.col(text))
-    result = joined.withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_going"), F.lit(0)).cast("long"), "_left": rest})
-    return result.withColumn(text, F.col("_left")).drop("_going", "_left")
+    rest = F.when(F.col(_going).isNotNull(), let(parts, lambda p: let(F.array_append(_going, F.size(p)), lambda ends: _between(p, ends)))).otherwise(F.col(text))
+    result = joined.withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size(_going), F.lit(0)).cast("long"), _left: rest})
+    return result.withColumn(text, F.col(_left)).drop(_going, _left)
+
+
+def _between(parts: Column, ends: Column) -> Column:
+    """The lines that lie between those numbered by ends (ascending); each line is looked at once."""
+    before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(-1))
+    return F.array_join(F.flatten(F.transform(ends, lambda end, i: F.slice(parts, before(i) + 2, end - before(i) - 1))), "\n")
