@@ -6,7 +6,8 @@ depends on the key and the kind of value alone, so a value has the same pseudony
 share one (day-first and month-first dates that read the same aside). Numbers that fail validation stay as they are.
 
 Kinds: email (local part; the domain stays), card (13 to 19 digits, Luhn), iban (mod 97), ipv4, phone (international or
-in US form; the country code stays), ssn (US ranges), date (years 1 to 9999; it stays in its range of DATE_RANGES), secret
+in US form, as many digits as its country has; one number has one pseudonym however it is spelled, and keeps its country
+code and its spelling), ssn (US ranges), date (years 1 to 9999; it stays in its range of DATE_RANGES), secret
 (hexadecimal after a word like token or password, in any case).
 
 Null text gives null text and no values; an empty text stays empty. Texts of any length are treated whole; repeated rows
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archloom.llm.common import free, let
+
 #: Rounds of each Feistel network, both halves changed four times.
 ROUNDS = 8
 FIRST_DAY, DATE_SIDE = "1900-01-01", 270
@@ -35,6 +38,10 @@ IBAN_LENGTHS = {
     30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 PHONE_DIGITS = {8: "45 47 65", 9: "27 31 33 34 41 48 61", 10: "1 7 20 44 52 90 91", 11: "86"}
+#: Country calling codes of one and of two digits; all others have three.
+PHONE_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: A leading zero for calls within the country, which isn't part of the number.
+TRUNK = r"[ .-]?\(0\)"
 
 
 def _iban_shape() -> str:
@@ -45,15 +52,15 @@ def _iban_shape() -> str:
 
 
 def _phone_shape() -> str:
-    known = [rf"\+(?:{'|'.join(codes.split())})(?:[ .-]?\(?\d\)?){{{n}}}(?![\w-])" for n, codes in PHONE_DIGITS.items()]
-    other = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2}(?:[ .-]?\d{2,4}(?![./:]\d))?"
+    known = [rf"\+(?:{'|'.join(codes.split())})(?:{TRUNK})?(?:[ .-]?\(?\d\)?){{{n}}}(?![\w-])" for n, codes in PHONE_DIGITS.items()]
+    other = rf"\+\d{{1,3}}(?:{TRUNK})?[ .-]?\(?\d{{2,4}}\)?(?:[ .-]?\d{{2,4}}){{2}}(?:[ .-]?\d{{2,4}}(?![./:]\d))?"
     return rf"(?<![\w+])(?:{'|'.join(known)}|{other}|\(\d{{3}}\) ?\d{{3}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}})(?![\w-])"
 
 
 #: Fixed shapes of values; what they match is validated afterwards.
 SHAPES = {
-    "email": r"(?<![\w.%+-])[\w.%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{32})(?<=\b(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key) ?[=:] ?[\"']?)[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
+    "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{32})(?<=\b(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key) ?[=:] ?[\"']?)[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
     "iban": _iban_shape(),
     "ipv4": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
     "phone": _phone_shape(),
@@ -65,32 +72,25 @@ _WITH_DIGITS = [v for k, v in SHAPES.items() if k not in ("email", "secret", "ib
 ANY = "|".join([*(SHAPES[k] for k in ("email", "secret", "iban")), f"(?=[0-9+(])(?:{'|'.join(_WITH_DIGITS)})"])
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with the value computed once."""
-    return F.transform(F.array(value), then)[0]
-
-
-def _noise(key: str, kind: str, step: Column, of: Column) -> Column:
+def _noise(key: str, kind: str | Column, step: Column, of: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(kind), step.cast("string"), of), 256)
 
 
-def permute_string(text: Column, key: str, kind: str, letters: int = 26) -> Column:
+def permute_string(text: Column, key: str, kind: str | Column, letters: int = 26) -> Column:
     """Digits go to digits and letters to letters of their case, other characters stay. Halves are the even and the odd
-    places; in turn, each is shifted by amounts drawn from the other."""
+    places; in turn, each is shifted by amounts drawn from the other. Time is in proportion to the length."""
 
-    def one(text: Column, step: Column) -> Column:
-        place = F.sequence(F.lit(1), F.length(text))
-        rest = F.array_join(F.transform(F.filter(place, lambda p: p % 2 != step % 2), lambda p: text.substr(p, F.lit(1))), "")
+    def one(chars: Column, step: Column) -> Column:
+        rest = F.array_join(F.filter(chars, lambda c, i: (i + 1) % 2 != step % 2), "")
 
-        def char(p: Column, noise: Column) -> Column:
-            c = text.substr(p, F.lit(1))
+        def char(c: Column, p: Column, noise: Column) -> Column:
             by = F.conv(noise.substr(((p / 2).cast("int") % 21) * 3 + 1, F.lit(3)), 16, 10).cast("int")
             moved = lambda base, n: F.char((F.ascii(c) - base + by) % n + base)
             return F.when(p % 2 != step % 2, c).when(c.between("0", "9"), moved(48, 10)).when(c.between("a", "z"), moved(97, letters)).when(c.between("A", "Z"), moved(65, letters)).otherwise(c)
 
-        return let(_noise(key, kind, step, rest), lambda noise: F.array_join(F.transform(place, lambda p: char(p, noise)), ""))
+        return let(_noise(key, kind, step, rest), lambda noise: F.transform(chars, lambda c, i: char(c, i + 1, noise)))
 
-    return F.when(F.length(text) > 0, F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), text, one)).otherwise(text)
+    return F.when(F.length(text) > 0, F.array_join(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.split(text, ""), one), "")).otherwise(text)
 
 
 def permute_pair(left: Column, right: Column, n: int, m: int, key: str, kind: str) -> Column:
@@ -145,16 +145,32 @@ def _day(text: Column) -> Column:
     return F.when(iso, F.try_to_date(text, "yyyy-MM-dd")).otherwise(F.coalesce(build(parts[2], parts[1], parts[0]), build(parts[2], parts[0], parts[1])))
 
 
+def phone_parts(value: Column) -> tuple[Column, Column, Column]:
+    """What stays of a number as written (country code and trunk zero), its country code (+1 in US form), and the rest."""
+    code = F.regexp_extract(value, PHONE_CODE, 0)
+    head = F.concat(code, F.regexp_extract(value.substr(F.length(code) + 1, F.length(value)), f"^{TRUNK}", 0))
+    return head, F.when(code == "", "+1").otherwise(code), value.substr(F.length(head) + 1, F.length(value))
+
+
+def _is_phone(value: Column) -> Column:
+    """As many digits as the country has, or 7 to 15 with the country code where that isn't known."""
+    _, code, rest = phone_parts(value)
+    n, right = F.length(_digits(rest)), F.when(F.lit(False), F.lit(True))
+    for digits, codes in PHONE_DIGITS.items():
+        right = right.when(code.isin(*(f"+{c}" for c in codes.split())), n == digits)
+    return right.otherwise((n + F.length(code) - 1).between(7, 15))
+
+
 def kind_of(value: Column) -> Column:
     """The kind of a matched value that passes validation, else null."""
     digits, solid = _digits(value), F.regexp_replace(value, " ", "")
     offset = F.date_diff(_day(value), F.lit(FIRST_DAY).cast("date"))
     return (
         F.when(value.contains("@"), "email")
-        .when(value.rlike("^[0-9A-Fa-f]{32,64}$"), "secret")
+        .when(value.rlike("^[0-9A-Fa-f]{32,}$"), "secret")
         .when(value.rlike("^[A-Z]"), F.when(mod97(F.concat(solid.substr(F.lit(5), F.length(solid)), solid.substr(1, 4))) == 1, "iban"))
         .when(value.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ipv4")
-        .when(value.rlike(r"^\+|^\(|^\d{3}-\d{3}-"), "phone")
+        .when(value.rlike(r"^\+|^\(|^\d{3}-\d{3}-"), F.when(_is_phone(value), "phone"))
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(~digits.rlike(r"^(000|666|9)|^...00|0000$"), "ssn"))
         .when(value.rlike(r"^\d{4}-\d{2}-\d{2}$|[/.]"), F.when(offset.between(DATE_RANGES[0][0], DATE_RANGES[-1][0] + DATE_RANGES[-1][1] * DATE_RANGES[-1][2] - 1), "date"))
         .when((luhn_sum(digits, 1) % 10 == 0) & (F.length(digits) >= 13) & digits.rlike("[1-9]"), "card")
@@ -178,9 +194,8 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     byte = lambda x: F.concat_ws(".", F.shiftright(x, 8).cast("string"), (x % 256).cast("string"))
     ipv4 = let(permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ipv4"), lambda ip: F.concat_ws(".", byte(ip["a"]), byte(ip["b"])))
 
-    code = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)
-    tail = value.substr(F.length(code) + 1, F.length(value))
-    phone = F.concat(code, permute_string(tail, key, "phone"))
+    head, country_code, rest = phone_parts(value)
+    phone = F.concat(head, _refill(rest, permute_string(_digits(rest), key, F.concat(F.lit("phone"), country_code)), "[0-9]"))
 
     area = digits.substr(1, 3).cast("int")
     s = permute_pair(F.when(area > 666, area - 2).otherwise(area - 1), (digits.substr(4, 2).cast("int") - 1) * 9999 + digits.substr(6, 4).cast("int") - 1, 898, 99 * 9999, key, "ssn")
@@ -216,15 +231,23 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", values: str = "p
     """docs with the values in `text` replaced, and a column of what was replaced: array of kind, start (code points of
     the old text, from 0), length and pseudonym. Passes over the text: a test for a digit, then one split and one
     extraction of the texts that have any. No shuffle."""
-    source = F.col(text)
+    source, (_found, _gaps) = F.col(text), free(docs, "_found", "_gaps")
     matched = F.regexp_extract_all(source, F.lit(f"({ANY})"), 1)
     kind = lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind"))
     new = lambda x: F.struct(x["value"].alias("value"), x["kind"].alias("kind"), F.coalesce(pseudonym(x["value"], x["kind"], key), x["value"]).alias("new"))
     hit = source.rlike("[0-9@]") & source.rlike(ANY)
-    step = docs.withColumn("_found", F.when(hit, F.transform(F.transform(matched, kind), new)))
-    step = step.withColumn("_gaps", F.when(F.col("_found").isNotNull(), F.split(source, ANY, -1)))
-    start = lambda i: F.aggregate(F.slice(F.col("_gaps"), F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(F.col("_found"), F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x["value"]))
-    spans = F.transform(F.col("_found"), lambda x, i: F.struct(x["kind"].alias("kind"), start(i).alias("start"), F.length(x["value"]).alias("length"), x["new"].alias("pseudonym")))
+    step = docs.withColumn(_found, F.when(hit, F.transform(F.transform(matched, kind), new)))
+    step = step.withColumn(_gaps, F.when(F.col(_found).isNotNull(), F.split(source, ANY, -1)))
+    width = lambda i: F.length(F.get(F.col(_gaps), i)) + F.when(i > 0, F.length(F.get(F.col(_found), i - 1)["value"])).otherwise(0)
+    starts = running_sum(F.transform(F.col(_found), lambda x, i: width(i)))
+    span = lambda x, start: F.struct(x["kind"].alias("kind"), start.alias("start"), F.length(x["value"]).alias("length"), x["new"].alias("pseudonym"))
+    spans = F.zip_with(F.col(_found), starts, span)
     spans = F.coalesce(F.filter(spans, lambda x: x["kind"].isNotNull()), F.array().cast("array<struct<kind:string,start:int,length:int,pseudonym:string>>"))
-    joined = F.array_join(F.zip_with(F.col("_gaps"), F.col("_found"), lambda g, x: F.concat(g, F.coalesce(x["new"], F.lit("")))), "")
-    return step.withColumn(values, spans).withColumn(text, F.when(F.col("_found").isNotNull(), joined).otherwise(source)).drop("_found", "_gaps")
+    joined = F.array_join(F.zip_with(F.col(_gaps), F.col(_found), lambda g, x: F.concat(g, F.coalesce(x["new"], F.lit("")))), "")
+    return step.withColumn(values, spans).withColumn(text, F.when(F.col(_found).isNotNull(), joined).otherwise(source)).drop(_found, _gaps)
+
+
+def running_sum(numbers: Column) -> Column:
+    """Each number with all before it added, in a number of passes that is the logarithm of the count."""
+    add = lambda acc, step: F.transform(acc, lambda v, i: v + F.coalesce(F.get(acc, i - F.pow(F.lit(2), step).cast("int")), F.lit(0)))
+    return let(numbers, lambda n: F.when(F.size(n) > 0, F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(n))).cast("int")), n, add)).otherwise(n))

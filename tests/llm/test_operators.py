@@ -18,12 +18,14 @@ from archloom.llm import bpe, chat, embed_dedup, exact_dedup, langid, line_dedup
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 TEXTS = "doc_id bigint, text string"
+#: Names that operators use inside for frames that hold other columns too.
+CLASHING = "hash keys n row _id _row _hash _keep _key _ties _going _left _found _gaps _doc _set _toxic first component links set content copies changes masked leaf key shard bin".split()
 
 
 def docs_of(spark, rows, extra=True):
-    """Documents with a column that clashes with names used inside."""
+    """Documents with columns that clash with names used inside."""
     df = spark.createDataFrame(rows, TEXTS)
-    return df.withColumns({"hash": F.lit("mine"), "keys": F.lit(1), "n": F.lit(2), "row": F.lit(3)}) if extra else df
+    return df.withColumns({c: F.lit("mine") for c in CLASHING}) if extra else df
 
 
 # 1 -------------------------------------------------------------------------------------------------------------------
@@ -118,6 +120,28 @@ def test_pii_of_any_case_and_time(spark):
     assert all(re.fullmatch(r"\d{4}-\d\d-\d\d", x[0][2]) and x[0][2] != x[0][1] for x in got[7:-1])
 
 
+def test_pii_links_numbers_however_they_are_spelled(spark):
+    spelled = ["+1 (523) 555-1055", "+15235551055", "(523) 555-1055", "523-555-1055", "+1.523.555.1055", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+442079460958"]
+    got = [x[0] for x in found_in(spark, spelled)]
+    digits = [re.sub(r"[^0-9]", "", p.replace("(0)", "")) for _, _, p in got]
+    assert [x[1] for x in got] == spelled and {d[-10:] for d in digits[:5]} == {digits[0][1:]} and len({d for d in digits[5:]}) == 1
+    assert all(re.sub(r"\d", "0", p) == re.sub(r"\d", "0", v) for _, v, p in got) and all(p.startswith(v[:2]) for _, v, p in got if v[0] == "+")
+    assert digits[0][1:] != "5235551055" and found_in(spark, ["+1 (523) 555-105", "+33 1 42 68 53"]) == [[], []]
+
+
+def test_pii_spans_and_long_values(spark):
+    rng = random.Random(13)
+    values = [f"{rng.randrange(1, 255)}.{rng.randrange(256)}.1.{rng.randrange(256)}" for _ in range(300)]
+    gaps = ["é" * rng.randrange(4) + " " for _ in values]
+    text = "".join(g + v for g, v in zip(gaps, values, strict=True))
+    long = [f"{'x' * 90}@mail.example.com", f"token={'0123456789abcdef' * 20}"]
+    got = found_in(spark, [text, *long])
+    assert [v for _, v, _ in got[0]] == values and [x[0][1] for x in got[1:]] == [long[0], long[1][6:]]
+    assert all(x[0][2] != x[0][1] and len(x[0][2]) == len(x[0][1]) for x in got[1:])
+    sums = spark.sql("select array(3,1,4,1,5,9,2) a union all select array(7) union all select cast(array() as array<int>) union all select null")
+    assert sorted(map(str, (r[0] for r in sums.select(pii.running_sum(F.col("a"))).collect()))) == sorted(map(str, [[3, 4, 8, 9, 14, 23, 25], [7], [], None]))
+
+
 def test_early_and_late_dates_are_permuted(spark):
     df = spark.sql("select date_format(day, 'yyyy-MM-dd') d from (select explode(sequence(date'1600-01-01', date'1899-12-31')) day union all select explode(sequence(date'2099-08-05', date'2199-12-31')))").where("substr(d, 9) < '04'")
     got = df.select("d", pii.pseudonym(F.col("d"), F.lit("date"), "k").alias("p"))
@@ -140,14 +164,14 @@ def test_pii_plan_has_no_python(spark):
 def test_grace_spills_and_merges():
     rng = random.Random(3)
     contents = [bytes([rng.randrange(256) for _ in range(rng.randint(0, 400))]) for _ in range(300)]
-    records = [(hashlib.sha256(c).digest(), c, i, i, 1, 1) for i, c in enumerate(rng.choices(contents, k=2000))]
+    records = [(hashlib.sha256(c).digest(), c, i, 1, 1) for i, c in enumerate(rng.choices(contents, k=2000))]
     want: dict = {}
     for _, c, i, *_ in records:
         want[c] = (max(i, want.get(c, (0, 0))[0]), want.get(c, (0, 0))[1] + 1)
     for room in (1, 5_000, 1 << 30):
-        assert {c: (doc, n) for _, c, doc, _, _, n in exact_dedup.grace(iter(records), room)} == want
+        assert {c: (doc, n) for _, c, doc, _, n in exact_dedup.grace(iter(records), room)} == want
     same = hashlib.sha256(b"").digest()  # contents that share a hash are still told apart
-    clash = [(same, bytes([i]), i, i, 1, 1) for i in range(40)]
+    clash = [(same, bytes([i]), i, 1, 1) for i in range(40)]
     assert len(list(exact_dedup.grace(iter(clash), 100))) == 40
 
 
@@ -158,7 +182,23 @@ def test_exact_dedup(spark):
     assert got == sorted(want, key=str)
     left = exact_dedup.drop_copies(docs)
     assert left.columns == docs.columns and sorted((r.doc_id for r in left.collect()), key=str) == sorted([5, 4, 9, 7, None], key=str)
-    assert exact_dedup.classes(docs.limit(0)).count() == 0
+    assert exact_dedup.classes(docs.limit(0)).count() == 0 and exact_dedup.drop_copies(docs.limit(0)).count() == 0
+
+
+def test_exact_dedup_of_many_repeated_rows(spark, monkeypatch):
+    """Rows that repeat id and text are counted and listed again; whatever the partitions, one of them stays."""
+    monkeypatch.setattr(exact_dedup, "RUN", 7)
+    rng = random.Random(12)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice(["a", "b", None, ""])) for _ in range(300)]
+    docs = docs_of(spark, rows).repartition(5)
+    plain: dict = {}
+    for i, text in rows:
+        plain.setdefault(text or "", []).append(i)
+    top = {t: max((i for i in ids if i is not None), default=None) for t, ids in plain.items()}
+    got = exact_dedup.classes(docs).collect()
+    assert len(got) == 300 and sum(r.kept for r in got) == len(plain) and all(r.doc_id == r.keep_id for r in got if r.kept)
+    assert sorted((r.text_sha256, r.keep_id, r.group_size) for r in got if r.kept) == sorted((hashlib.sha256(t.encode()).hexdigest(), top[t], len(ids)) for t, ids in plain.items())
+    assert sorted((r.text or "", r.doc_id) for r in exact_dedup.drop_copies(docs).collect()) == sorted(top.items())
 
 
 # 4, 5 ----------------------------------------------------------------------------------------------------------------
@@ -224,6 +264,20 @@ def test_bands():
     assert 1 - (1 - 0.8**r) ** b >= 0.995 and b * r <= 160
 
 
+def word_runs(text):
+    """The set of runs of five words, by plain Python."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_keep_one_row_of_each_group(spark):
+    rng = random.Random(4)
+    a, b = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=80)) for _ in range(2))
+    rows = [(3, b), (5, a), (5, f"{b} more"), (7, a), (None, b), (9, ""), (9, None), (11, "one"), (11, "one")]
+    left = ngram_join.drop_near_copies(docs_of(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(3, b), (5, a), (None, b), (9, ""), (9, None), (11, "one")], key=str)
+
+
 def test_ngram_links(spark, monkeypatch):
     monkeypatch.setattr(links, "BLOCK_RECORDS", 16)
     rng = random.Random(5)
@@ -238,8 +292,7 @@ def test_ngram_links(spark, monkeypatch):
 
     texts = base + [changed(base[0], 1) for _ in range(50)] + [base[1], base[1].upper(), base[2] + "!"] + [changed(b, k % 5) for k, b in enumerate(base)] + ["one two", "One, two.", "", None, "...", " ".join(base)]
     rows = list(enumerate(texts)) + [(0, texts[0]), (None, "w1 w2 w3")]
-    known = ngram_join.WordHashes()
-    sets = [set(ngram_join.ngrams(t, known).tolist()) for _, t in rows]
+    sets = [word_runs(t) for _, t in rows]
     ids = list(range(len(rows)))
     near = lambda a, b: bool(a and b) and len(a & b) >= 0.8 * len(a | b)
     pairs = [(i, j) for i in ids for j in ids if i < j and rows[i][0] is not None and rows[j][0] is not None and near(sets[i], sets[j])]
@@ -418,6 +471,7 @@ def test_line_dedup(spark):
     got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(docs_of(spark, rows).withColumn("n_lines", F.lit("clash"))).collect()}
     want = plain_line_dedup(rows)
     assert {i: r.text for i, r in got.items()} == want
+    assert all(r[c] == "mine" for r in got.values() for c in CLASHING)
     assert got[100].n_lines == 0 and got[102].n_dropped == 0 and sum("logged in" in (r.text or "") for r in got.values()) == 1 and got[104].n_dropped == 1
     assert line_dedup.drop_recurring_lines(docs_of(spark, rows).limit(0)).count() == 0
 
@@ -427,6 +481,19 @@ def left_lines(spark, texts):
     return [got[i] for i in range(len(texts))]
 
 
+def test_line_dedup_of_rows_that_repeat_a_doc_id(spark):
+    rows = [(1, "a b c d e f"), (1, "q r s t u v\na b c d e f"), (0, "a b c d e f"), (None, "a b c d e f"), (2, "x\na b c d e f"), (2, "x\na b c d e f")]
+    got = line_dedup.drop_recurring_lines(docs_of(spark, rows)).collect()
+    want = [(1, "", 1), (1, "q r s t u v", 1), (0, "a b c d e f", 0), (None, "a b c d e f", 0), (2, "x", 1), (2, "x", 1)]
+    assert sorted(((r.doc_id, r.text, r.n_dropped) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_line_dedup_of_many_dropped_lines(spark):
+    lines = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} of this long list" for i in range(15_000)]
+    texts = ["\n".join(lines), "\n".join(["first", *lines[:7000], "", "middle", *lines[7000:], "last"])]
+    assert left_lines(spark, texts) == [texts[0], "first\n\nmiddle\nlast"]
+
+
 def test_line_dedup_keeps_lines_that_only_begin_alike(spark):
     texts = ["He is a doctor", "He is a teacher", "She went to the old house", "She went to the old castle", "They said that we should all go home", "They said that we must never come again", "1 2 3 40", "1 2 5 60", "12 34 56 78 total", "90 12 34 56 total"]
     assert left_lines(spark, texts) == texts
