@@ -21,15 +21,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from archloom.llm.common import cut
 from archloom.llm.links import find_links
 
-#: For g groups there are TABLES * g * (g + 1) tables with PROBES * g probed cells besides a vector's own; width of the
-#: lattice in standard deviations. Recall at a cosine of just 0.9 is 0.95 or more for one to four groups.
+#: For g groups there are TABLES * g * (g + 1) tables with PROBES * g probed cells besides a vector's own (twice as many for
+#: five groups, the most); width of the lattice in standard deviations. Recall at a cosine of just 0.9 is 0.95 or more for
+#: all numbers of groups.
 TABLES, PROBES, WIDTH, SEED = 2, 2, 1.9, 20
 #: Cells that unit vectors of no kinship spread over with one group, roughly.
 SPREAD = 400
+MOST_GROUPS = 5
 
 
 def roots() -> np.ndarray:
@@ -64,7 +67,7 @@ class LatticeHash:
     """Cell keys of unit vectors of one length."""
 
     def __init__(self, length: int, groups: int, tables: int | None = None, probes: int | None = None, width: float = WIDTH):
-        tables, probes = tables or TABLES * groups * (groups + 1), probes or PROBES * groups
+        tables, probes = tables or TABLES * groups * (groups + 1), probes or PROBES * groups * (2 if groups >= MOST_GROUPS else 1)
         random = np.random.default_rng([SEED, length, groups])
         self.groups, self.tables, self.probes = groups, tables, probes
         self.matrix = random.standard_normal((length, tables * groups * 8)) / width
@@ -101,11 +104,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def groups_for(n: int) -> int:
     """Groups of eight coordinates for n vectors."""
-    return max(1, math.ceil(math.log(max(n, 2)) / math.log(SPREAD)))
+    return min(MOST_GROUPS, max(1, math.ceil(math.log(max(n, 2)) / math.log(SPREAD))))
 
 
-def _unit(payloads: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(p, np.float64) for p in payloads])
+def _unit(payloads: list[bytes], kind: type) -> np.ndarray:
+    """Unit vectors in double precision; scaled first, so that no square overflows or vanishes."""
+    x = np.stack([np.frombuffer(p, kind) for p in payloads]).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -117,6 +122,8 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
     rows = rows.withColumn("v", F.when(usable, F.col("v")))
     distinct = cut(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("many")).withColumn("id", F.xxhash64("v")))
     n = groups or groups_for(distinct.count())
+    source = vectors.schema[embedding].dataType  # floats are sent as they are and compared as doubles
+    kind = np.float32 if isinstance(source, T.ArrayType) and isinstance(source.elementType, T.FloatType) else np.float64
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, LatticeHash] = {}
@@ -132,8 +139,8 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
                     x = x / np.abs(x).max(1, keepdims=True)
                     for i, k in zip(at, hasher.keys(x / np.sqrt((x * x).sum(1, keepdims=True))), strict=True):
                         keys[i] = k
-                scaled = [(v / np.abs(v).max()).tobytes() for v in raw]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("many"), pa.array([len(s) for s in scaled], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(scaled, pa.binary())], names=["id", "many", "weight", "keys", "payload"])
+                sent = [v.astype(kind).tobytes() for v in raw]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("many"), pa.array([len(s) for s in sent], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sent, pa.binary())], names=["id", "many", "weight", "keys", "payload"])
 
     records = cut(distinct.mapInArrow(hashed, "id bigint, many bigint, weight int, keys array<bigint>, payload binary"))
 
@@ -142,7 +149,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
         place, units = np.zeros(len(payloads), int), {}
         for length in np.unique(lengths):
             at = np.flatnonzero(lengths == length)
-            place[at], units[length] = np.arange(len(at)), _unit([payloads[i] for i in at])
+            place[at], units[length] = np.arange(len(at)), _unit([payloads[i] for i in at], kind)
 
         def linked(i: int, near: np.ndarray) -> np.ndarray:
             x, same = units[lengths[i]], lengths[near] == lengths[i]

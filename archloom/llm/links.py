@@ -178,9 +178,10 @@ def find_links(records: DataFrame, payloads: Callable[[DataFrame], DataFrame], p
 
     records: id, many, weight, keys. payloads: given the ids that share a bucket (id), their payloads (id, payload)."""
     member = cut(buckets(records))
-    need = member.select("id").distinct()
-    carried = records.select("id", "many", "keys").join(payloads(need), "id")
-    rows = member.join(carried, "id")
+    # of a record's keys only those of buckets that are visited travel with it: every pair with a common key has one of them
+    at = member.groupBy("id").agg(F.collect_list(F.struct("key", "blocks")).alias("at"))
+    rows = at.join(records.select("id", "many").join(payloads(member.select("id").distinct()), "id"), "id")
+    rows = rows.select("id", "many", "payload", F.transform("at", lambda x: x["key"]).alias("keys"), F.explode("at").alias("here")).select("*", "here.*")
     own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rows.withColumn("block", own).withColumn("other", other)
