@@ -49,8 +49,13 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(own)))
 
 
+def token_counts(docs: DataFrame) -> DataFrame:
+    """docs with the number of ids of op1 (n_tokens) in place of the text."""
+    return bpe.token_counts(docs, bpe.read_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")), F.col("n_tokens"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
