@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Errors that a session remembers, and how many numbers later a success still counts as a retry.
+REMEMBERED_ERRORS, RETRY_WITHIN = 10, 3
+
 
 def stats(nodes: DataFrame, edges: DataFrame, domain: str = "") -> DataFrame:
     """kind, name, n: nodes by layer and status, edges (whose source is in the domain, active or not) by type and derivation."""
     inside = nodes.where(F.col("domain_key") == domain) if domain else nodes
     own = edges.join(inside.select(F.col("node_key").alias("from_node_key")), "from_node_key", "left_semi") if domain else edges
-    count = lambda f, kind, by: f.groupBy(F.col(by).alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
-    parts = [count(inside, "layer", "layer"), count(inside.where("status in ('active', 'stale')"), "status", "status"), count(own, "edge_type", "edge_type"), count(own, "derivation", "derivation_kind")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    nodes_by = _counts(inside, "layer", "status").where("kind = 'layer' or name in ('active', 'stale')")
+    return nodes_by.unionAll(_counts(own, "edge_type", "derivation_kind"))
+
+
+def _counts(frame: DataFrame, a: str, b: str) -> DataFrame:
+    """kind, name, n: rows by one column and by another, in one pass."""
+    sets = frame.groupingSets([[F.col(a)], [F.col(b)]], F.col(a), F.col(b)).agg(F.grouping_id().alias("_set"), F.count("*").alias("n"))
+    first = F.col("_set") == 1  # b is left out
+    return sets.select(F.when(first, F.lit(a)).otherwise(F.lit(b.removesuffix("_kind"))).alias("kind"), F.when(first, F.col(a)).otherwise(F.col(b)).alias("name"), "n")
 
 
 def name_search(nodes: DataFrame, text: str, limit: int = 10) -> DataFrame:
@@ -43,6 +53,23 @@ def low_confidence(edges: DataFrame, nodes: DataFrame, threshold: float = 0.8) -
     return low.join(named("from"), "from_node_key").join(named("to"), "to_node_key").select("edge_key", "edge_type", "from_name", "to_name", "confidence")
 
 
+def evidence_by_domain(evidence: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """domain_key, status, n. Evidence of an edge counts for the domain of the node that it starts from; evidence without a
+    known target has a null domain."""
+    homes = nodes.groupBy("node_key").agg(F.min("domain_key").alias("domain_key"))
+    starts = edges.groupBy("edge_key").agg(F.min("from_node_key").alias("node_key")).join(homes, "node_key", "left")
+    home = homes.select(F.lit("node").alias("target_kind"), F.col("node_key").alias("target_key"), "domain_key")
+    home = home.unionAll(starts.select(F.lit("edge"), "edge_key", "domain_key"))
+    counted = evidence.groupBy("target_kind", "target_key", "status").agg(F.count("*").alias("n"))
+    return counted.join(home, ["target_kind", "target_key"], "left").groupBy("domain_key", "status").agg(F.sum("n").alias("n"))
+
+
+def finalized(counts: DataFrame, domain: str) -> DataFrame:
+    """How many rows of a domain's evidence are revalidated, stale, and invalidated (told as contradicted)."""
+    named = F.when(F.col("status") == "invalidated", "contradicted").otherwise(F.col("status"))
+    return counts.where(F.col("domain_key") == domain).select(named.alias("status"), "n").where("status in ('revalidated', 'stale', 'contradicted')")
+
+
 def without_evidence(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
     return nodes.where("status = 'active'").join(evidence.where("target_kind = 'node'").select(F.col("target_key").alias("node_key")), "node_key", "left_anti")
 
@@ -56,7 +83,7 @@ def discoveries(nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> Data
     """The rules that fire: rule, category, severity, confidence, n. Counts come from one pass over each table."""
     n = lambda cond, name: F.count_if(cond).alias(name)
     active = F.col("status") == "active"
-    by_node = nodes.agg(n(active & (F.col("node_type") == "controller"), "controllers"), n(active & (F.col("layer") == "service"), "services"), n(active & (F.col("layer") == "data"), "data"), n(active & (F.col("layer") == "contract"), "contracts"))
+    by_node = nodes.agg(n(active & (F.col("node_type") == "controller"), "controllers"), n(active & (F.col("node_type") == "service"), "services"), n(active & (F.col("layer") == "data"), "data"), n(active & (F.col("layer") == "contract"), "contracts"))
     typed = lambda *t: F.col("active") & F.col("edge_type").isin(*t)
     by_edge = edges.agg(n(F.col("active") & (F.col("confidence") > 0) & (F.col("confidence") < 0.7), "low"), n(typed("EXPOSES_ENDPOINT"), "exposes"), n(typed("CALLS_SERVICE", "CALLS_ENDPOINT"), "calls"), n(typed("REFERENCES_MODEL"), "refs"), n(typed("USES_MODEL"), "uses"))
     bare = without_evidence(nodes, evidence).agg(F.count("*").alias("bare"))
@@ -79,27 +106,87 @@ def discoveries(nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> Data
 
 
 def language_violations(nodes: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Nodes whose name or key has an anti-pattern of a term (term, anti_pattern). The glossary is a table of terms that
-    people write; beyond a megabyte it is not broadcast."""
-    terms = glossary.select("term", F.explode("anti_patterns").alias("anti_pattern"))
-    found = F.lower("name").contains(F.lower("anti_pattern")) | F.lower("node_key").contains(F.lower("anti_pattern"))
-    return nodes.join(terms, found).select("node_key", "name", "term", "anti_pattern")
+    """Nodes whose name or key has an anti-pattern of a term, in any case (glossary: term, anti_patterns). Names and keys are
+    cut into the pieces that are as long as some anti-pattern, and pieces are joined with anti-patterns by equality. Only the
+    different lengths come to the driver."""
+    terms = glossary.select("term", F.explode("anti_patterns").alias("anti_pattern")).where("anti_pattern is not null")
+    lengths = [r[0] for r in terms.select(F.length(F.lower("anti_pattern"))).distinct().collect()]
+    ends = lambda c, n: F.sequence(F.lit(1), F.length(c) - n + 1)
+    cut = lambda c, n: F.when(F.length(c) >= n, F.transform(ends(c, n), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    of = [cut(F.lower(F.coalesce(c, F.lit(""))), n) for c in ("name", "node_key") for n in sorted(lengths)]
+    pieces = F.array_distinct(F.concat(*of)) if of else F.array().cast("array<string>")
+    each = nodes.select("node_key", "name", F.explode(pieces).alias("_piece"))
+    return each.join(terms, F.col("_piece") == F.lower("anti_pattern")).select("node_key", "name", "term", "anti_pattern")
 
 
 def request_metrics(requests: DataFrame, by: list[str]) -> DataFrame:
-    """Calls, payload characters, duration and errors, over all requests or by tool."""
+    """Calls, payload characters, duration and errors, over all requests or by tool, those with the most characters first."""
     size = F.length(F.coalesce("params_json", F.lit(""))) + F.length(F.coalesce("result_json", F.lit("")))
-    return requests.groupBy(*by).agg(F.count("*").alias("calls"), F.sum(size).alias("total_chars"), F.avg(size).alias("avg_chars"), F.max(size).alias("max_chars"), F.sum("duration_ms").alias("total_ms"), F.avg("duration_ms").alias("avg_ms"), F.count_if(F.coalesce("error_message", F.lit("")) != "").alias("errors"))
-
-
-def retries(requests: DataFrame, session: str, back: int = 3) -> DataFrame:
-    """Successes of a tool that failed within the last `back` calls of the session: the call, and the oldest such failure."""
-    number = Window.partitionBy(session).orderBy("request_id")
-    numbered = requests.withColumn("seq", F.row_number().over(number))
-    failed = F.coalesce("error_message", F.lit("")) != ""
-    recent = Window.partitionBy(session, "tool_name").orderBy("seq").rangeBetween(-back, -1)
-    marked = numbered.withColumn("failed_seq", F.min(F.when(failed, F.col("seq"))).over(recent))
-    return marked.where(~failed & F.col("failed_seq").isNotNull()).select(session, "request_id", "tool_name", "seq", "failed_seq")
+    grouped = requests.groupBy(*by).agg(F.count("*").alias("calls"), F.sum(size).alias("total_chars"), F.avg(size).alias("avg_chars"), F.max(size).alias("max_chars"), F.sum("duration_ms").alias("total_ms"), F.avg("duration_ms").alias("avg_ms"), F.count_if(failed()).alias("errors"))
+    return grouped.orderBy(F.desc("total_chars"), *by) if by else grouped
+
+
+def metrics_of(requests: DataFrame, tool: str) -> DataFrame:
+    """Calls of one tool, and the mean and greatest length of their parameters."""
+    size = F.length(F.coalesce("params_json", F.lit("")))
+    own = requests.where(F.col("tool_name") == tool)
+    return own.agg(F.count("*").alias("calls"), F.coalesce(F.avg(size), F.lit(0.0)).alias("avg_chars"), F.coalesce(F.max(size), F.lit(0)).alias("max_chars"))
+
+
+def summaries(requests: DataFrame, of: str = "result_json") -> DataFrame:
+    """request_id and a short form of its result: the number of items of an array, the number of keys of an object, else ''."""
+    text = F.trim(of)
+    items = F.json_array_length(F.when(text.startswith("["), text))
+    keys = F.size(F.json_object_keys(F.when(text.startswith("{"), text)))
+    shown = F.when(items.isNotNull(), F.concat(items.cast("string"), F.lit(" items"))).when(keys >= 0, F.concat(keys.cast("string"), F.lit(" keys")))
+    return requests.select("request_id", F.coalesce(shown, F.lit("")).alias("summary"))
+
+
+@dataclass
+class RetryMemory:
+    """One session's log: the next number, and its last ten errors as (number, tool)."""
+
+    seq: int = 0
+    errors: list[tuple[int, str]] = field(default_factory=list)
+
+    def step(self, tool: str, failed: bool) -> tuple[int, int | None]:
+        """The number of a call and of the oldest remembered error that it repeats, within three numbers. The marker that is
+        written for a retry takes a number of its own."""
+        now, again = self.seq, None
+        self.seq += 1
+        if failed:
+            self.errors = [*self.errors, (now, tool)][-REMEMBERED_ERRORS:]
+        else:
+            again = next((n for n, t in self.errors if t == tool and now - n <= RETRY_WITHIN), None)
+            self.seq += again is not None
+        return now, again
+
+
+def failed(message: str = "error_message") -> Column:
+    return F.coalesce(message, F.lit("")) != ""
+
+
+def retries(requests: DataFrame, session: str) -> DataFrame:
+    """Successes of a tool that failed just before in the session: the call, its number, and that of the oldest such failure.
+    Every session is read in order, with a bounded memory, as numbers depend on the retries before."""
+    rows = requests.select(F.col(session).cast("long").alias(session), "request_id", "tool_name", failed().alias("failed"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, memory = object(), RetryMemory()
+        for batch in batches:
+            out = []
+            for who, call, tool, bad in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if who != now:
+                    now, memory = who, RetryMemory()
+                seq, again = memory.step(tool, bad)
+                if again is not None:
+                    out.append((who, call, tool, seq, again))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[session, "request_id", "tool_name", "seq", "failed_seq"])
+
+    ordered = rows.repartition(session).sortWithinPartitions(session, "request_id")
+    return ordered.mapInArrow(run, f"{session} bigint, request_id bigint, tool_name string, seq int, failed_seq int")
 
 
 def touching(edges: DataFrame, nodes: DataFrame, domain: str) -> DataFrame:

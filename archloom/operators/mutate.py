@@ -19,31 +19,39 @@ def _like(frame: DataFrame, table: DataFrame) -> DataFrame:
     return frame.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema.fields))
 
 
-def upsert(table: DataFrame, incoming: DataFrame, key: str, number: str, revision: int = 0, fixed: tuple[str, ...] = ()) -> DataFrame:
-    """Insert or change rows by key. revision 0 changes the open row in place; otherwise it is closed and a new version
-    inserted. Changing a fixed column is an error. Of equal keys in incoming the greatest row counts."""
-    rows = incoming.groupBy(key).agg(F.max(F.struct(*incoming.columns)).alias("_r")).select("_r.*")
+def upsert(table: DataFrame, incoming: DataFrame, key: str, number: str, revision: int = 0, fixed: tuple[str, ...] = (), kept: tuple[str, ...] = ("first_seen",), filled: tuple[str, ...] = ()) -> DataFrame:
+    """Insert or change rows by key. revision 0 changes the open row in place, but for the columns in `kept`, and those in
+    `filled` only where incoming isn't null; otherwise the open row is closed and a new version inserted. A fixed column that
+    differs, from the open row or among equal keys of incoming, is an error. Of equal keys the last by column `position`
+    counts, or the greatest row where there is none."""
+    names = [c for c in incoming.columns if c != "position"]
+    last = F.max_by(F.struct(*names), "position") if "position" in incoming.columns else F.max(F.struct(*names))
+    differing = [(F.min(c) != F.max(c)).alias(f"_d_{c}") for c in fixed]
+    rows = incoming.groupBy(key).agg(last.alias("_r"), *differing)
     opened = table.where(is_open())
     if fixed:
-        other = rows.select(key, *(F.col(c).alias(f"_{c}") for c in fixed))
+        within = rows.where(F.greatest(*(F.col(f"_d_{c}").cast("int") for c in fixed), F.lit(0)) == 1).select(key)
+        other = rows.select(key, *(F.col(f"_r.{c}").alias(f"_{c}") for c in fixed))
         differs = [~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in fixed]
-        wrong = opened.join(other, key).where(F.greatest(*(d.cast("int") for d in differs), F.lit(0)) == 1).orderBy(key).select(key).head()
-        if wrong:
+        against = opened.join(other, key).where(F.greatest(*(d.cast("int") for d in differs), F.lit(0)) == 1).select(key)
+        if wrong := within.unionAll(against).orderBy(key).head():
             raise ValueError(f"{', '.join(fixed)} of {wrong[0]} cannot change")
+    rows = rows.select("_r.*")
     top = table.agg(F.coalesce(F.max(number), F.lit(0))).scalar()
     fresh = rows if revision else rows.join(opened.select(key), key, "left_anti")
-    fresh = fresh.withColumn("valid_from", F.lit(revision).cast("long")).withColumn("valid_to", F.lit(None).cast("long"))
+    fresh = fresh.withColumn("valid_from", F.lit(revision or None).cast("long")).withColumn("valid_to", F.lit(None).cast("long"))
     fresh = fresh.withColumn(number, top + 1 + F.monotonically_increasing_id())
     if revision:
         touched = rows.select(F.col(key).alias("_key")).withColumn("_hit", F.lit(True))
         closed = table.join(touched, F.col(key) == F.col("_key"), "left")
-        kept = closed.withColumn("valid_to", F.when(F.col("_hit") & is_open(), F.lit(revision).cast("long")).otherwise(F.col("valid_to"))).select(table.columns)
+        after = closed.withColumn("valid_to", F.when(F.col("_hit") & is_open(), F.lit(revision).cast("long")).otherwise(F.col("valid_to"))).select(table.columns)
     else:
-        mutable = [c for c in rows.columns if c in table.columns and c not in (key, number, "valid_from", "valid_to")]
+        mutable = [c for c in rows.columns if c in table.columns and c not in (key, number, "valid_from", "valid_to", *kept, *fixed)]
         new = rows.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in mutable), F.lit(True).alias("_hit"))
         joined = table.join(new, (F.col(key) == F.col("_key")) & is_open(), "left")
-        kept = joined.withColumns({c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in mutable}).select(table.columns)
-    return kept.unionByName(_like(fresh, table))
+        value = lambda c: F.coalesce(f"_{c}", c) if c in filled else F.col(f"_{c}")
+        after = joined.withColumns({c: F.when(F.col("_hit"), value(c)).otherwise(F.col(c)) for c in mutable}).select(table.columns)
+    return after.unionByName(_like(fresh, table))
 
 
 def soft_delete(table: DataFrame, key: str, value: str, changed: dict[str, Column]) -> DataFrame:
@@ -58,6 +66,12 @@ def mark_stale_nodes(nodes: DataFrame, domain: str, revision: int) -> DataFrame:
     return nodes.withColumn("status", F.when(old, "stale").otherwise(F.col("status")))
 
 
+def changed_rows(before: DataFrame, after: DataFrame, key: str, column: str) -> int:
+    """In how many rows of `after` the column isn't what the row of that key had before."""
+    old = before.select(F.col(key).alias("_key"), F.col(column).alias("_old"))
+    return after.join(old, F.col(key) == F.col("_key")).where(~F.col(column).eqNullSafe(F.col("_old"))).count()
+
+
 def mark_stale_edges(edges: DataFrame, nodes: DataFrame, domain: str, revision: int) -> DataFrame:
     inside = nodes.where(F.col("domain_key") == domain).select(F.col("node_key").alias("from_node_key")).distinct().withColumn("_in", F.lit(True))
     old = F.col("active") & (F.col("last_seen") < revision) & F.coalesce("_in", F.lit(False))

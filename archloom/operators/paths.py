@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archloom.functions.scores import path_cost, path_score
+from archloom.operators.traverse import SMALL_FRONTIER
 from archloom.session import cut
 from archloom.sources.registry import Registry
 
@@ -34,28 +35,29 @@ def paths(edges: DataFrame, registry: Registry, start: str, end: str, depth: int
     """rank, depth, cost, score, nodes, edges, types, total_found of the top_k paths by cost."""
     depth, top_k = (depth if depth > 0 else 10), (top_k if top_k > 0 else 5)
     spark = edges.sparkSession
-    steps = hops(edges, registry, connected, structural, derivations)
+    steps = cut(hops(edges, registry, connected, structural, derivations))
     near = spark.range(1).select(F.lit(end).alias("node"), F.lit(0).alias("left"))
-    ring = near
+    ring, n = near, 1
     for i in range(1, depth):  # how many hops a node is from the target, at least
-        ring = ring.join(steps, F.col("node") == F.col("b")).select(F.col("a").alias("node"), F.lit(i).alias("left")).distinct().join(near.select("node"), "node", "left_anti")
-        ring = cut(ring)
-        if ring.isEmpty():
+        close = F.broadcast(ring) if n <= SMALL_FRONTIER else ring
+        ring = steps.select("a", "b").join(close, F.col("node") == F.col("b")).select(F.col("a").alias("node"), F.lit(i).alias("left")).distinct()
+        ring = cut(ring.join(near.select("node"), "node", "left_anti"))
+        if not (n := ring.count()):
             break
         near = near.unionAll(ring)
-    near = cut(near)
     useful = cut(steps.join(near, F.col("b") == F.col("node")).drop("node"))
     way = "array<struct<list:int,edge_key:string>>"
     level = spark.range(1 if start != end else 0).select(F.lit(start).alias("at"), F.array(F.lit(start)).alias("nodes"), F.expr(f"cast(array() as {way})").alias("ord"), F.expr("cast(array() as array<string>)").alias("types"), F.expr("cast(array() as array<double>)").alias("confidences"))
-    hits, found = None, 0
+    hits, found, n = None, 0, 1
     for d in range(1, depth + 1):
-        grown = level.join(useful, (F.col("at") == F.col("a")) & (F.col("left") <= depth - d) & ~F.array_contains("nodes", F.col("b")))
+        grown = useful.join(F.broadcast(level) if n <= SMALL_FRONTIER else level, (F.col("at") == F.col("a")) & (F.col("left") <= depth - d) & ~F.array_contains("nodes", F.col("b")))
         level = cut(grown.select(F.col("b").alias("at"), F.array_append("nodes", F.col("b")).alias("nodes"), F.array_append("ord", F.struct("list", "edge_key")).alias("ord"), F.array_append("types", F.col("edge_type")).alias("types"), F.array_append("confidences", F.col("confidence")).alias("confidences")))
         here = level.where(F.col("at") == end)
-        found += here.count()
+        counts = level.agg(F.count_if(F.col("at") == end), F.count("*")).first()
+        found, n = found + counts[0], counts[1] - counts[0]
         hits = here if hits is None else hits.unionAll(here)
         level = level.where(F.col("at") != end)
-        if found >= top_k * 10 or level.isEmpty():
+        if found >= top_k * 10 or not n:
             break
     scored = hits.select(F.size("ord").alias("depth"), path_cost(F.col("confidences")).alias("cost"), path_score(F.col("confidences")).alias("score"), F.array_join("nodes", ",").alias("nodes"), F.array_join(F.transform("ord", lambda x: x["edge_key"]), ",").alias("edges"), F.array_join("types", ",").alias("types"), "ord")
     first = scored.orderBy("depth", "ord").limit(top_k * 10)

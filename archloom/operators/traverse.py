@@ -2,7 +2,10 @@
 
 The first discovery of a node in a queue that visits edges in key order is the walk whose edge keys, as an array, are the
 least among its shortest ones. So each level is a join, an anti-join against what was seen, and min_by over that array,
-and all of them run in parallel. The driver keeps the depth and learns whether a level was empty.
+and all of them run in parallel. The driver keeps the depth and learns how many nodes a level found.
+
+The steps that may be taken are computed and written once, narrow; each level reads those. A frontier is broadcast while
+its counted rows are SMALL_FRONTIER or fewer, and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -16,6 +19,17 @@ from archloom.functions.scores import impact_score, round_at
 from archloom.session import cut
 from archloom.sources.registry import Registry
 
+#: Rows of a frontier up to which it is broadcast; a row holds the way from the start, so its size is bounded by the depth.
+SMALL_FRONTIER = 20_000
+
+
+def narrow(edges: DataFrame, derivations: tuple[str, ...] = ()) -> DataFrame:
+    """What walks need of the active edges with one of the derivations (all if none is given)."""
+    open_ = edges.where("active")
+    if derivations:
+        open_ = open_.where(F.col("derivation_kind").isin(*derivations))
+    return open_.select("edge_key", "from_node_key", "to_node_key", "edge_type", "trust_score")
+
 
 def current(frame: DataFrame, key: str, number: str) -> DataFrame:
     """The open version of each key with the greatest number."""
@@ -28,15 +42,16 @@ def walk(edges: DataFrame, start: str, depth: int, reverse: bool = False) -> Dat
     ord (edge keys), keys (nodes from the start on), types, product (of trust). The start isn't among them."""
     a, b = ("to_node_key", "from_node_key") if reverse else ("from_node_key", "to_node_key")
     steps = edges.select(F.col(a).alias("node_key"), F.col(b).alias("next"), "edge_key", "edge_type", "trust_score")
-    first = "array(cast(null as string))"
-    seen = edges.sparkSession.range(1).select(F.lit(start).alias("node_key"), F.lit(0).alias("depth"), F.expr(f"filter({first}, x -> false)").alias("ord"), F.array(F.lit(start)).alias("keys"), F.expr(f"filter({first}, x -> false)").alias("types"), F.lit(1.0).alias("product"))
-    frontier = seen
+    none = "cast(array() as array<string>)"
+    seen = edges.sparkSession.range(1).select(F.lit(start).alias("node_key"), F.lit(0).alias("depth"), F.expr(none).alias("ord"), F.array(F.lit(start)).alias("keys"), F.expr(none).alias("types"), F.lit(1.0).alias("product"))
+    frontier, found = seen, 1
     for level in range(1, depth + 1):
-        found = frontier.join(steps, "node_key").join(seen.select(F.col("node_key").alias("next")), "next", "left_anti")
+        near = F.broadcast(frontier) if found <= SMALL_FRONTIER else frontier
         ways = F.struct(F.array_append("ord", F.col("edge_key")).alias("ord"), F.array_append("keys", F.col("next")).alias("keys"), F.array_append("types", F.col("edge_type")).alias("types"), (F.col("product") * F.col("trust_score")).alias("product"))
-        best = found.select("next", ways.alias("way")).groupBy("next").agg(F.min_by("way", "way.ord").alias("way"))
-        frontier = cut(best.select(F.col("next").alias("node_key"), F.lit(level).alias("depth"), "way.ord", "way.keys", "way.types", "way.product"))
-        if frontier.isEmpty():
+        best = steps.join(near, "node_key").select("next", ways.alias("way")).groupBy("next").agg(F.min_by("way", "way.ord").alias("way"))
+        fresh = best.join(seen.select(F.col("node_key").alias("next")), "next", "left_anti")
+        frontier = cut(fresh.select(F.col("next").alias("node_key"), F.lit(level).alias("depth"), "way.ord", "way.keys", "way.types", "way.product"))
+        if not (found := frontier.count()):
             break
         seen = seen.unionAll(frontier)
     return seen.where("depth > 0")
@@ -46,14 +61,15 @@ def deps(nodes: DataFrame, edges: DataFrame, start: str, depth: int, reverse: bo
     """Dependencies (or dependents) of a node with attributes and the rank of discovery. An unknown start is an error."""
     if nodes.where(F.col("node_key") == start).isEmpty():
         raise LookupError(f"node not found: {start}")
-    open_ = edges.where("active")
-    if derivations:
-        open_ = open_.where(F.col("derivation_kind").isin(*derivations))
-    found = walk(open_, start, depth, reverse)
+    found = walk(cut(narrow(edges, derivations)), start, depth, reverse)
     shown = found.join(nodes.select("node_key", "name", "layer", "node_type", "trust_score", "freshness", "status"), "node_key")
     return shown.select("node_key", "name", "layer", "node_type", "depth", "trust_score", "freshness", "status", F.array_join("ord", "|").alias("via"))
 
 
+#: Edges from a node to what it offers to others.
+SURFACE = ("EXPOSES_ENDPOINT", "PUBLISHES_TOPIC")
+
+
 @dataclass(frozen=True)
 class Impact:
     nodes: DataFrame
@@ -66,10 +82,11 @@ def impact(nodes: DataFrame, edges: DataFrame, registry: Registry, start: str, d
     depth, top_k = (depth if depth > 0 else 10), (top_k if top_k > 0 else 50)
     if nodes.where(F.col("node_key") == start).isEmpty():
         raise LookupError(f"node not found: {start}")
-    walked = edges.where("active").where(~F.col("edge_type").isin(*(registry.structural | registry.no_reverse)))
-    if derivations:
-        walked = walked.where(F.col("derivation_kind").isin(*derivations))
-    found = cut(walk(walked, start, depth, reverse=True))
+    shown = F.col("edge_type").isin(*SURFACE)
+    walked = ~F.col("edge_type").isin(*(registry.structural | registry.no_reverse))
+    chosen = F.col("derivation_kind").isin(*derivations) if derivations else F.lit(True)
+    steps = cut(narrow(edges.where((walked & chosen) | shown)).withColumn("walked", walked & ~shown))
+    found = cut(walk(steps.where("walked"), start, depth, reverse=True))
     reached = found.agg(F.max("depth")).first()[0] or 0
     scored = found.select("node_key", "depth", impact_score(F.col("product"), F.col("depth")).alias("score"), round_at(F.col("product"), 3).alias("trust_chain"), F.array_join("keys", ">").alias("path"), F.array_join("types", ">").alias("edge_types"), "ord")
     top = cut(scored.where(F.col("score") >= min_score).orderBy(F.desc("score"), "depth", "ord").limit(top_k))
@@ -77,7 +94,6 @@ def impact(nodes: DataFrame, edges: DataFrame, registry: Registry, start: str, d
     # the start comes first among those that expose a target, then the order of impact
     own = nodes.sparkSession.range(1).select(F.lit(start).alias("from_node_key"), F.lit("(changed)").alias("label"), F.lit(-1e9).alias("minus"), F.lit(0).alias("depth"), F.expr("array('')").alias("ord"))
     exposers = own.unionByName(top.select(F.col("node_key").alias("from_node_key"), F.col("node_key").alias("label"), (-F.col("score")).alias("minus"), "depth", "ord"))
-    out = edges.where("active").where(F.col("edge_type").isin("EXPOSES_ENDPOINT", "PUBLISHES_TOPIC"))
-    surface = out.join(F.broadcast(exposers), "from_node_key").groupBy(F.col("to_node_key").alias("target_key"), "edge_type").agg(F.min_by("label", F.struct("minus", "depth", "ord", "from_node_key")).alias("exposed_by"))
+    surface = steps.where(shown).join(F.broadcast(exposers), "from_node_key").groupBy(F.col("to_node_key").alias("target_key"), "edge_type").agg(F.min_by("label", F.struct("minus", "depth", "ord", "from_node_key")).alias("exposed_by"))
     surface = surface.withColumn("kind", F.when(F.col("edge_type") == "EXPOSES_ENDPOINT", "endpoint").otherwise("topic")).drop("edge_type")
     return Impact(named.drop("ord"), surface, reached)

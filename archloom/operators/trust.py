@@ -55,17 +55,32 @@ def trust(evidence: DataFrame, keys: list[str], include_closed: bool = False) ->
     return s.select(*keys, "n", "positive", "negative", "confidence", "freshness", "ceiling", (F.col("confidence") * F.col("freshness")).alias("trust_score"), status.alias("status"))
 
 
+def _joined(rows: DataFrame, trusted: DataFrame, key: str) -> tuple[DataFrame, dict[str, Column]]:
+    """rows with the trust of their key beside them, closed versions without, and the numbers afterwards."""
+    facts = ("confidence", "freshness", "trust_score")
+    t = trusted.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in (*facts, "status")))
+    same = F.col(key) == F.col("_key")
+    if "valid_to" in rows.columns:
+        same = same & (F.coalesce("valid_to", F.lit(0)) == 0)
+    return rows.join(t, same, "left"), {c: F.coalesce(f"_{c}", c) for c in facts}
+
+
 def apply_to_edges(edges: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Write trust back: an edge is active unless removed or contradicted. Edges without evidence stay as they are."""
-    t = trusted.select("edge_key", *(F.col(c).alias(f"_{c}") for c in ("confidence", "freshness", "trust_score", "status")))
-    new = {c: F.coalesce(f"_{c}", c) for c in ("confidence", "freshness", "trust_score")}
+    """Write trust back to open rows: an edge is active unless removed or contradicted. Edges without evidence and closed
+    versions stay as they are."""
+    joined, new = _joined(edges, trusted, "edge_key")
     new["active"] = F.when(F.col("_status").isNull(), F.col("active")).otherwise(~F.col("_status").isin("removed", "contradicted"))
-    return edges.join(t, "edge_key", "left").withColumns(new).select(edges.columns)
+    return joined.withColumns(new).select(edges.columns)
 
 
 def apply_to_nodes(nodes: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Write trust back: contradicted and removed nodes are deleted, others take the status."""
-    t = trusted.select("node_key", *(F.col(c).alias(f"_{c}") for c in ("confidence", "freshness", "trust_score", "status")))
-    new = {c: F.coalesce(f"_{c}", c) for c in ("confidence", "freshness", "trust_score")}
+    """Write trust back to open rows: contradicted and removed nodes are deleted, others take the status."""
+    joined, new = _joined(nodes, trusted, "node_key")
     new["status"] = F.when(F.col("_status").isin("removed", "contradicted"), "deleted").otherwise(F.coalesce("_status", "status"))
-    return nodes.join(t, "node_key", "left").withColumns(new).select(nodes.columns)
+    return joined.withColumns(new).select(nodes.columns)
+
+
+def status_of(targets: DataFrame, trusted: DataFrame, key: str) -> DataFrame:
+    """targets with the status of each: unknown for those that no evidence tells of."""
+    known = trusted.select(key, F.col("status").alias("trust_status"))
+    return targets.join(known, key, "left").withColumn("trust_status", F.coalesce("trust_status", F.lit("unknown")))

@@ -2,56 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archloom.functions import keys
-from archloom.operators import insight, mutate, paths, temporal, traverse, trust, validate
-from archloom.sources.projection import BRAND, CTES, CUSTOMER, ORDER, PART, SUPPLIER, World
+from archloom.operators import insight, ledger, lookup, mutate, paths, temporal, traverse, trust, validate
+from archloom.plans import records  # noqa: F401  (registers queries of its own)
+from archloom.plans.base import ORACLES, QUERIES, query
+from archloom.schema import PAYLOAD
+from archloom.session import cut, own_folder, remove
+from archloom.store import GraphStore
+from archloom.sources.projection import BRAND, CTES, CUSTOMER, NATION, ORDER, PART, SUPPLIER, World
 from archloom.sources.registry import Registry
 from archloom.streaming import requests as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str, graph: bool = True):
-    """Register a function of a World; graph: its SQL follows the projection's common tables."""
-
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(World(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = (CTES + (", " + sql.strip()[5:] if sql.strip().upper().startswith("WITH ") else sql)) if graph else sql
-        return f
-
-    return register
-
-
 R6 = lambda c, name=None: (F.round(F.col(c) * 1e6) / 1e6).alias(name or c)
 
 
 # --- scans -----------------------------------------------------------------------------------------------------------
 @query("SELECT node_key, node_type, name FROM nodes WHERE layer = 'ownership'")
 def node_list_by_layer(w):
-    return w.nodes.where("layer = 'ownership'").select("node_key", "node_type", "name").orderBy("node_key")
+    return lookup.nodes_where(w.open_nodes, layer="ownership").select("node_key", "node_type", "name")
 
 
 @query("SELECT node_key, name FROM nodes WHERE layer = 'code' AND node_type = 'provider' AND last_seen >= 5")
 def node_list_filtered(w):
-    return w.nodes.where("layer = 'code' and node_type = 'provider' and domain_key = 'shop' and status = 'active' and last_seen >= 5").select("node_key", "name").orderBy("node_key")
+    return lookup.nodes_where(w.open_nodes, "code", "provider", "shop", status="active").where("last_seen >= 5").select("node_key", "name")
 
 
 @query("SELECT edge_key, derivation_kind FROM drawn_keys WHERE edge_type = 'IMPORTS'".replace("drawn_keys", "(SELECT *, a || '->' || b || ':' || edge_type AS edge_key FROM drawn)"))
 def edge_list_by_type(w):
-    return w.drawn.where("edge_type = 'IMPORTS' and active").select("edge_key", "derivation_kind").orderBy("edge_key")
+    return lookup.edges_where(w.open(w.drawn), edge_type="IMPORTS", active=True).select("edge_key", "derivation_kind")
 
 
 @query(f"SELECT edge_key, edge_type FROM edges WHERE from_node_key = '{PART}7' AND active")
 def edge_list_from_node(w):
-    return w.edges.where((F.col("from_node_key") == f"{PART}7") & F.col("active")).select("edge_key", "edge_type").orderBy("edge_key")
+    return lookup.edges_where(w.open(w.edges), source=f"{PART}7", active=True).select("edge_key", "edge_type")
 
 
 @query(f"SELECT edge_key, source_kind, status, polarity, round(confidence * 1e6) / 1e6 AS confidence FROM evidence WHERE edge_key LIKE '{PART}7->%'")
@@ -66,12 +52,12 @@ def stale_file_paths(w):
 
 @query("SELECT event_id AS request_id, event_type AS tool_name FROM events ORDER BY event_id DESC LIMIT 100 OFFSET 50", graph=False)
 def request_page(w):
-    return w.requests.select("request_id", "tool_name").orderBy(F.desc("request_id")).offset(50).limit(100)
+    return lookup.request_page(w.requests, 0, 50).select("request_id", "tool_name")
 
 
-@query("SELECT event_id AS request_id, event_type AS tool_name FROM events WHERE event_id > 9000", graph=False)
+@query("SELECT event_id AS request_id, event_type AS tool_name FROM events WHERE event_id > 900", graph=False)
 def requests_since(w):
-    return w.requests.where("request_id > 9000").select("request_id", "tool_name").orderBy("request_id")
+    return lookup.requests_since(w.requests, 900).select("request_id", "tool_name")
 
 
 @query("SELECT node_key, name FROM nodes WHERE name ILIKE '%ring%' ORDER BY (lower(name) <> 'ring'), node_key LIMIT 10")
@@ -94,11 +80,10 @@ def key_normalize(w):
     return w.table("part").select("p_partkey", keys.node_key(F.expr(MESSY)).alias("node_key"))
 
 
-@query("""SELECT a || '->' || b || ':' || edge_type AS edge_key, a AS from_key, b AS to_key, edge_type FROM drawn WHERE edge_type IN ('OWNED_BY', 'INJECTS')""")
+@query("""SELECT a || '->' || b || ':' || edge_type AS edge_key, a AS from_key, b AS to_key, edge_type FROM drawn""")
 def edge_key_parse(w):
     a, b, t = keys.edge_parts(F.concat(F.lit(" "), F.upper(F.substring_index("edge_key", "->", 1)), F.lit("->"), F.substring_index("edge_key", "->", -1), F.lit(" ")))
-    e = w.drawn.where("edge_type in ('OWNED_BY', 'INJECTS')")
-    return e.select(keys.edge_key(F.col("edge_key")).alias("edge_key"), F.lower(a).alias("from_key"), b.alias("to_key"), t.alias("edge_type"))
+    return w.drawn.select(keys.edge_key(F.col("edge_key")).alias("edge_key"), F.lower(a).alias("from_key"), b.alias("to_key"), t.alias("edge_type"))
 
 
 def _suspect_nodes(w):
@@ -127,10 +112,25 @@ def evidence_validation_errors(w):
     return validate.evidence(rows, Registry.load()).where("error is not null").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT kind, key, issue FROM (SELECT 'node' AS kind, CASE WHEN last_seen = 3 THEN 'broken:' || name ELSE node_key END AS key, CASE WHEN last_seen = 3 THEN 'malformed key' WHEN last_seen = 4 THEN 'confidence out of range' END AS issue FROM nodes WHERE layer = 'service') WHERE issue IS NOT NULL""")
+FAULTS = """(SELECT 'node' AS kind, CASE WHEN last_seen = 3 THEN 'broken:' || name ELSE node_key END AS key, CASE WHEN last_seen = 3 THEN 'malformed key' WHEN last_seen = 4 THEN 'confidence out of range' END AS issue FROM nodes
+UNION ALL SELECT 'edge', CASE WHEN last_seen = 5 THEN a || '=>' || b ELSE a || '->' || b || ':' || edge_type END, CASE WHEN last_seen = 5 THEN 'malformed key' {more} END FROM drawn)"""
+
+
+def _faulty(w):
+    """Nodes and edges with broken keys and confidences out of range."""
+    n = w.nodes.withColumn("node_key", F.when(F.col("last_seen") == 3, F.concat(F.lit("broken:"), "name")).otherwise(F.col("node_key"))).withColumn("confidence", F.when(F.col("last_seen") == 4, F.lit(2.0)).otherwise(F.lit(1.0)))
+    e = w.drawn.withColumn("edge_key", F.when(F.col("last_seen") == 5, F.concat("from_node_key", F.lit("=>"), "to_node_key")).otherwise(F.col("edge_key"))).withColumn("confidence", F.when(F.col("last_seen") == 6, F.lit(-1.0)).otherwise(F.lit(1.0)))
+    return n, e
+
+
+@query(f"SELECT kind, key, issue FROM {FAULTS.format(more='WHEN last_seen = 6 THEN ' + repr('confidence out of range'))} WHERE issue IS NOT NULL")
 def integrity_issues(w):
-    n = w.nodes.where("layer = 'service'").withColumn("node_key", F.when(F.col("last_seen") == 3, F.concat(F.lit("broken:"), "name")).otherwise(F.col("node_key"))).withColumn("confidence", F.when(F.col("last_seen") == 4, F.lit(2.0)).otherwise(F.lit(1.0)))
-    return validate.integrity(n, w.drawn.where("edge_type = 'DEPENDS_ON_DOMAIN'"))
+    return validate.integrity(*_faulty(w))
+
+
+@query(f"SELECT kind, key, issue FROM {FAULTS.format(more='')} WHERE issue IS NOT NULL")
+def integrity_issues_strict(w):
+    return validate.integrity_strict(*_faulty(w))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_partkey WHEN 1 THEN p_size WHEN 2 THEN -p_size ELSE 0 END::INT AS n FROM part", graph=False)
@@ -234,8 +234,8 @@ path_query("path_directed", f"{PART}150", f"{PART}1", 6, 5, derivations=("hard",
 path_query("path_connected", f"{PART}12", f"{PART}13", 3, 3, connected=True, derivations=("hard",))
 path_query("path_pubsub", f"{CUSTOMER}10", f"{SUPPLIER}3", 3, 3)
 path_query("path_derivation_filter", f"{PART}150", f"{PART}1", 8, 5, derivations=("hard",))
-path_query("path_include_structural", f"{SUPPLIER}3", "ownership:domain:shop:region-1", 3, 3, structural=True)
-path_query("path_topk_cost", f"{PART}200", f"{PART}0", 7, 3, source="edges", derivations=("hard", "linked"))
+path_query("path_include_structural", f"{NATION}6", f"{NATION}1", 2, 3, connected=True, structural=True)
+path_query("path_topk_cost", f"{PART}199", f"{PART}0", 7, 3, source="edges", derivations=("hard", "linked"))
 
 
 # --- trust -----------------------------------------------------------------------------------------------------------
@@ -269,10 +269,26 @@ def edge_status_counts(w):
     return w.judged.groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT node_key, count(*) AS n, round((1.0::double - product(CASE WHEN polarity = 'positive' AND status = 'valid' AND l_quantity > 49 THEN 1.0::double - confidence ELSE 1.0::double END)) * 1e6) / 1e6 AS positive
-FROM evidence WHERE l_quantity > 49 GROUP BY 1""")
+@query("""SELECT node_key, count(*) AS n, round((1.0::double - product(CASE WHEN polarity = 'positive' AND status = 'valid' THEN 1.0::double - confidence ELSE 1.0::double END)) * 1e6) / 1e6 AS positive
+FROM evidence GROUP BY 1""")
 def node_trust(w):
-    return trust.trust(w.evidence.where("l_quantity > 49"), ["node_key"]).select("node_key", "n", R6("positive"))
+    return trust.trust(w.evidence, ["node_key"]).select("node_key", "n", R6("positive"))
+
+
+@query("SELECT 'edge' AS kind, edge_type AS name, coalesce(j.status, 'unknown') AS trust_status, count(*) AS n FROM drawn d LEFT JOIN judged j ON j.edge_key = d.a || '->' || d.b || ':' || d.edge_type GROUP BY ALL")
+def status_with_unknown(w):
+    told = trust.status_of(w.drawn, w.judged, "edge_key")
+    return told.groupBy(F.lit("edge").alias("kind"), F.col("edge_type").alias("name"), "trust_status").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT edge_key, version, round(CASE version WHEN 'closed' THEN 0.33::double ELSE confidence END * 1e6) / 1e6 AS confidence, CASE version WHEN 'closed' THEN true ELSE status NOT IN ('contradicted', 'removed') END AS active
+FROM judged, (VALUES ('open'), ('closed')) v(version)""")
+def trust_write_back_versions(w):
+    """Closed versions keep what they say; open ones get the trust of their evidence."""
+    calls = w.drawn.where("edge_type = 'CALLS_SERVICE'").withColumn("confidence", F.lit(0.33))  # those that evidence tells of
+    versions = calls.withColumn("valid_to", F.lit(None).cast("long")).unionAll(calls.withColumn("valid_to", F.lit(7).cast("long")))
+    after = trust.apply_to_edges(versions, w.judged)
+    return after.select("edge_key", F.when(F.col("valid_to").isNull(), "open").otherwise("closed").alias("version"), R6("confidence"), "active")
 
 
 # --- changes ---------------------------------------------------------------------------------------------------------
@@ -304,14 +320,49 @@ def node_upsert_versions(w):
     return mutate.upsert(_customers(w), _incoming(w), "node_key", "node_id", revision=99).select("node_key", "valid_from", "valid_to", "status")
 
 
-@query("""SELECT edge_key, 1::BIGINT AS valid_from, CASE WHEN edge_type = 'INJECTS' AND last_seen > 4 THEN 8::BIGINT END AS valid_to, derivation_kind FROM (SELECT *, a || '->' || b || ':' || edge_type AS edge_key FROM drawn) WHERE edge_type IN ('INJECTS', 'IMPORTS')
+@query("""SELECT edge_key, 1::BIGINT AS valid_from, CASE WHEN edge_type = 'INJECTS' AND last_seen > 4 THEN 8::BIGINT END AS valid_to, derivation_kind FROM (SELECT *, a || '->' || b || ':' || edge_type AS edge_key FROM drawn)
 UNION ALL SELECT a || '->' || b || ':' || edge_type, 8, NULL, 'linked' FROM drawn WHERE edge_type = 'INJECTS' AND last_seen > 4""")
 def edge_upsert_versions(w):
-    base = w.drawn.where("edge_type in ('INJECTS', 'IMPORTS')").withColumns({"valid_from": F.lit(1).cast("long"), "valid_to": F.lit(None).cast("long"), "edge_id": F.xxhash64("edge_key")})
+    base = w.drawn.withColumns({"valid_from": F.lit(1).cast("long"), "valid_to": F.lit(None).cast("long"), "edge_id": F.xxhash64("edge_key")})
     incoming = base.where("edge_type = 'INJECTS' and last_seen > 4").drop("valid_from", "valid_to", "edge_id").withColumn("derivation_kind", F.lit("linked"))
     return mutate.upsert(base, incoming, "edge_key", "edge_id", revision=8).select("edge_key", "valid_from", "valid_to", "derivation_kind")
 
 
+@query(f"""WITH inc AS (SELECT '{CUSTOMER}' || o_custkey AS node_key, arg_max(o_orderpriority, o_orderkey) AS status, arg_max(o_orderkey, o_orderkey) AS last_seen FROM orders GROUP BY 1)
+SELECT '{CUSTOMER}' || c_custkey AS node_key, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 9 END::BIGINT AS first_seen, coalesce(i.last_seen, 1)::BIGINT AS last_seen, coalesce(i.status, 'old') AS status
+FROM customer LEFT JOIN inc i ON i.node_key = '{CUSTOMER}' || c_custkey WHERE c_custkey % 2 = 0 OR i.node_key IS NOT NULL""", graph=False)
+def node_upsert_batch(w):
+    """A batch that repeats keys: its last row counts, and a node that is there keeps when it was first seen."""
+    key = lambda c: F.concat(F.lit(CUSTOMER), c).alias("node_key")
+    one, none = F.lit(1).cast("long"), F.lit(None).cast("long")
+    there = w.table("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("node_id"), key("c_custkey"), F.lit("code").alias("layer"), F.lit("old").alias("status"), one.alias("first_seen"), one.alias("last_seen"), none.alias("valid_from"), none.alias("valid_to"))
+    batch = w.table("orders").select(F.col("o_orderkey").alias("position"), key("o_custkey"), F.lit("code").alias("layer"), F.col("o_orderpriority").alias("status"), F.lit(9).cast("long").alias("first_seen"), F.col("o_orderkey").alias("last_seen"))
+    return mutate.upsert(there, batch, "node_key", "node_id", fixed=("layer",)).select("node_key", "first_seen", "last_seen", "status")
+
+
+@query(f"SELECT '{CUSTOMER}' || o_custkey AS from_node_key, '{ORDER}' || o_orderkey AS to_node_key, CASE WHEN o_orderkey % 3 = 0 THEN 'linked' ELSE 'hard' END AS derivation_kind FROM orders", graph=False)
+def edge_upsert_keeps_ends(w):
+    """Ends that a batch doesn't give stay as they are stored."""
+    base = w.drawn.where("edge_type = 'PUBLISHES_TOPIC'").withColumns({"valid_from": F.lit(None).cast("long"), "valid_to": F.lit(None).cast("long"), "edge_id": F.xxhash64("edge_key")})
+    third = F.split("to_node_key", "-").getItem(F.size(F.split("to_node_key", "-")) - 1).cast("long") % 3 == 0
+    batch = base.where(third).select("edge_key", F.lit(None).cast("string").alias("from_node_key"), F.lit(None).cast("string").alias("to_node_key"), F.lit("linked").alias("derivation_kind"), F.lit(1).alias("position"))
+    return mutate.upsert(base, batch, "edge_key", "edge_id", filled=("from_node_key", "to_node_key")).select("from_node_key", "to_node_key", "derivation_kind")
+
+
+def _deleted_versions(w, key: str):
+    return mutate.soft_delete(_customers(w), "node_key", key, {"status": F.lit("deleted")})
+
+
+@query(f"WITH {VERSIONS} SELECT node_key, valid_from, CASE WHEN node_key = '{CUSTOMER}11' THEN 'deleted' ELSE status END AS status FROM customers", graph=False)
+def soft_delete_node(w):
+    return _deleted_versions(w, f"{CUSTOMER}11").select("node_key", "valid_from", "status")
+
+
+@query(f"SELECT a || '->' || b || ':' || edge_type AS edge_key, NOT (a = '{PART}9' AND b = '{PART}4' AND edge_type = 'INJECTS') AS active FROM drawn WHERE edge_type = 'INJECTS'")
+def soft_delete_edge(w):
+    return mutate.soft_delete(w.drawn.where("edge_type = 'INJECTS'"), "edge_key", f"{PART}9->{PART}4:INJECTS", {"active": F.lit(False)}).select("edge_key", "active")
+
+
 def _stored(w, rows: DataFrame) -> DataFrame:
     """One stored row for each identity among evidence rows."""
     cols = [c for c in mutate.IDENTITY]
@@ -323,10 +374,10 @@ def _stored(w, rows: DataFrame) -> DataFrame:
 IDENT = "edge_key, source_kind, file_path, line_start, polarity"
 
 
-@query(f"SELECT {IDENT}, 'valid' AS status, max(confidence) AS confidence FROM evidence WHERE l_quantity > 30 GROUP BY {IDENT}")
+@query(f"SELECT {IDENT}, 'valid' AS status, max(confidence) AS confidence FROM evidence GROUP BY {IDENT}")
 def evidence_dedup(w):
     empty = _stored(w, w.evidence.where("false"))
-    incoming = w.evidence.where("l_quantity > 30").select(*mutate.IDENTITY, "confidence", "commit_sha", "extractor_version", F.col("confidence").alias("position"))
+    incoming = w.evidence.select(*mutate.IDENTITY, "confidence", "commit_sha", "extractor_version", F.col("confidence").alias("position"))
     after = mutate.upsert_evidence(empty, incoming)
     return after.select(F.col("target_key").alias("edge_key"), "source_kind", "file_path", "line_start", "polarity", "status", "confidence")
 
@@ -378,18 +429,35 @@ def invalidated_targets(w):
     return mutate.invalidated_targets(mutate.invalidate(w.evidence, _changed(w)), _changed(w))
 
 
-@query("""SELECT (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) AS nodes, (SELECT count(*) FROM pairs) AS edges, (SELECT count(*) FROM lineitem) AS evidence, (SELECT count(*) FROM part) AS aliases""")
-def import_summary(w):
-    from archloom.store import GraphStore
+#: The projection with evidence as an import keeps it: of equal rows the surest, stale if one of them is.
+KEPT = CTES.replace("FROM evidence),\njudged_sums", "FROM (SELECT edge_key, source_kind, file_path, line_start, polarity, max(confidence) AS confidence, min(status) AS status FROM evidence GROUP BY ALL)),\njudged_sums")
 
-    root = w.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="archloom-store-")
-    store = GraphStore(w.spark, f"{root.rstrip('/')}/import-{abs(hash(w.sf_dir))}-{id(w)}")
-    e = w.evidence.withColumns({"position": F.monotonically_increasing_id(), "line_end": F.col("line_start")})
-    nodes = w.nodes.where("layer in ('code', 'service') and node_type <> 'controller'").withColumns({"position": F.monotonically_increasing_id(), "metadata": F.lit("")})
-    edges = w.drawn.where("edge_type = 'CALLS_SERVICE'").withColumns({"position": F.monotonically_increasing_id(), "metadata": F.lit(""), "from_layer": F.lit("code"), "to_layer": F.lit("service")})
+
+@query(KEPT + """SELECT 'nodes' AS kind, count(*) AS n, 0.0::double AS trust FROM nodes UNION ALL SELECT edge_type, count(*), round(sum(trust_score) * 1e3) / 1e3 FROM edges WHERE active GROUP BY 1
+UNION ALL SELECT 'edges', count(*), 0.0 FROM edges UNION ALL SELECT 'evidence', count(*), 0.0 FROM (SELECT DISTINCT edge_key, source_kind, file_path, line_start, polarity FROM evidence)
+UNION ALL SELECT 'evidence taken', count(*), 0.0 FROM evidence UNION ALL SELECT 'aliases', count(*), 0.0 FROM part""", graph=False)
+def import_summary(w):
+    """The whole graph imported as one payload: what the tables hold afterwards. Its evidence goes in as new, that is valid,
+    and is invalidated afterwards where it is stale, which brings the trust of the other queries."""
+    folder = own_folder(w.spark, "import")
+    store = GraphStore(w.spark, folder)
+    layer = lambda c: F.substring_index(c, ":", 1)
+    place = F.monotonically_increasing_id()
+    e = w.evidence.withColumns({"position": F.col("confidence"), "line_end": F.col("line_start"), "node_key": F.lit(None).cast("string")})
+    nodes = w.nodes.withColumns({"position": place, "metadata": F.lit("")})
+    edges = w.drawn.withColumns({"position": place, "metadata": F.lit(""), "from_layer": layer("from_node_key"), "to_layer": layer("to_node_key")})
     aliases = w.table("part").select(F.concat(F.lit(PART), "p_partkey").alias("node_key"), F.col("p_name").alias("alias"), F.lit("name").alias("alias_kind"), F.lit(0.0).alias("confidence"))
-    done = store.import_payload({"nodes": nodes.select("position", "node_key", "layer", "node_type", "domain_key", "name", "status", "confidence", "metadata"), "edges": edges.select("position", "edge_key", "from_node_key", "to_node_key", "edge_type", "derivation_kind", "from_layer", "to_layer", "confidence", "metadata"), "evidence": e.drop("node_key"). withColumn("node_key", F.lit(None).cast("string")), "aliases": aliases})
-    return w.spark.createDataFrame([(done["nodes"], done["edges"], done["evidence"], done["aliases"])], "nodes bigint, edges bigint, evidence bigint, aliases bigint")
+    payload = {"nodes": nodes.select("position", "node_key", "layer", "node_type", "domain_key", "name", "status", "confidence", "metadata"), "edges": edges.select("position", "edge_key", "from_node_key", "to_node_key", "edge_type", "derivation_kind", "from_layer", "to_layer", "confidence", "metadata"), "evidence": e, "aliases": aliases}
+    done = store.import_payload(payload)
+    stale = w.evidence.where("status = 'stale'").select(*mutate.IDENTITY, F.lit("stale").alias("_now")).distinct()
+    told = store.table("evidence").join(stale, list(mutate.IDENTITY), "left").withColumn("status", F.coalesce("_now", "status"))
+    after = trust.apply_to_edges(store.table("edges"), trust.trust(told.withColumnRenamed("target_key", "edge_key"), ["edge_key"]))
+    total = lambda kind, n: w.spark.range(1).select(F.lit(kind).alias("kind"), F.lit(n).cast("long").alias("n"), F.lit(0.0).alias("trust"))
+    by_type = after.where("active").groupBy(F.col("edge_type").alias("kind")).agg(F.count("*").alias("n"), (F.round(F.sum("trust_score") * 1e3) / 1e3).alias("trust"))
+    rows = by_type.unionAll(total("edges", done["edges"])).unionAll(total("nodes", store.table("nodes").count())).unionAll(total("evidence", store.table("evidence").count())).unionAll(total("evidence taken", done["evidence"])).unionAll(total("aliases", store.table("aliases").count()))
+    out = cut(rows)
+    remove(w.spark, folder)
+    return out
 
 
 # --- time ------------------------------------------------------------------------------------------------------------
@@ -459,15 +527,15 @@ stats_query("stats_by_edge_type", "edge_type", "SELECT edge_type AS name, count(
 stats_query("stats_by_derivation", "derivation", "SELECT derivation_kind AS name, count(*) AS n FROM drawn GROUP BY 1")
 
 
-@query("SELECT e.edge_key, e.edge_type, a.name AS from_name, b.name AS to_name, round(confidence * 1e6) / 1e6 AS confidence FROM edges e JOIN nodes a ON a.node_key = from_node_key JOIN nodes b ON b.node_key = to_node_key WHERE active AND confidence < 0.6 AND edge_type = 'CALLS_SERVICE'")
+@query("SELECT e.edge_key, e.edge_type, a.name AS from_name, b.name AS to_name, round(confidence * 1e6) / 1e6 AS confidence FROM edges e JOIN nodes a ON a.node_key = from_node_key JOIN nodes b ON b.node_key = to_node_key WHERE active AND confidence < 0.6")
 def low_confidence_edges(w):
-    return insight.low_confidence(w.edges.where("edge_type = 'CALLS_SERVICE'"), w.nodes, 0.6).withColumn("confidence", R6("confidence"))
+    return insight.low_confidence(w.edges, w.nodes, 0.6).withColumn("confidence", R6("confidence"))
 
 
-@query("SELECT node_key FROM nodes WHERE layer = 'service' AND node_key NOT IN (SELECT node_key FROM evidence WHERE l_quantity > 49)")
+@query("SELECT node_key FROM nodes WHERE node_key NOT IN (SELECT node_key FROM evidence)")
 def nodes_without_evidence(w):
-    told = w.evidence.where("l_quantity > 49").select(F.lit("node").alias("target_kind"), F.col("node_key").alias("target_key"))
-    return insight.without_evidence(w.nodes.where("layer = 'service'"), told).select("node_key")
+    told = w.evidence.select(F.lit("node").alias("target_kind"), F.col("node_key").alias("target_key"))
+    return insight.without_evidence(w.nodes, told).select("node_key")
 
 
 @query("SELECT node_key FROM nodes WHERE node_type = 'provider' AND last_seen <> 2")
@@ -483,30 +551,60 @@ def discovery_rules(w):
     return insight.discoveries(w.nodes, w.edges, told.unionAll(every)).select("rule", "n")
 
 
+@query("""SELECT 5 AS rule, 'warning' AS severity, count(*) AS n FROM nodes WHERE node_type = 'service' AND last_seen > 2 UNION ALL SELECT 4, 'critical', count(*) FROM nodes WHERE node_type = 'controller'""")
+def discovery_rules_by_type(w):
+    """A part of the services as workers, which rule 5 doesn't count, and no edges to endpoints or services."""
+    nodes = w.nodes.withColumn("node_type", F.when((F.col("layer") == "service") & (F.col("last_seen") <= 2), "worker").otherwise(F.col("node_type")))
+    edges = w.drawn.where("edge_type in ('INJECTS', 'OWNED_BY')")
+    found = insight.discoveries(nodes, edges, w.evidence.select("target_kind", "target_key"))
+    return found.where("rule in (4, 5)").select("rule", "severity", "n")
+
+
 @query("SELECT node_key, n.name, term, anti_pattern FROM nodes n JOIN (VALUES ('component', 'widget'), ('band', 'RING'), ('component', 'gizmo')) g(term, anti_pattern) ON contains(lower(n.name), lower(anti_pattern)) OR contains(n.node_key, lower(anti_pattern))")
 def language_violations(w):
     glossary = w.spark.createDataFrame([("component", ["widget", "gizmo"]), ("band", ["RING"])], "term string, anti_patterns array<string>")
     return insight.language_violations(w.nodes, glossary)
 
 
-METRICS = "count(*) AS calls, sum(length(props))::BIGINT AS total_chars, max(length(props))::INT AS max_chars, count(*) FILTER (event_type = 'error') AS errors, round(sum(value) * 1e3) / 1e3 AS total_ms"
+METRICS = "count(*) AS calls, round(avg(value) * 1e3) / 1e3 AS avg_ms, sum(length(props))::BIGINT AS total_chars, max(length(props))::INT AS max_chars, count(*) FILTER (event_type = 'error') AS errors, round(sum(value) * 1e3) / 1e3 AS total_ms"
 
 
 @query(f"SELECT {METRICS} FROM events", graph=False)
 def request_stats(w):
-    return insight.request_metrics(w.requests, []).select("calls", "total_chars", "max_chars", "errors", (F.round(F.col("total_ms") * 1e3) / 1e3).alias("total_ms"))
+    return insight.request_metrics(w.requests, []).select("calls", "total_chars", "max_chars", "errors", (F.round(F.col("total_ms") * 1e3) / 1e3).alias("total_ms"), (F.round(F.col("avg_ms") * 1e3) / 1e3).alias("avg_ms"))
 
 
 @query(f"SELECT event_type AS tool_name, {METRICS} FROM events GROUP BY 1", graph=False)
 def request_metrics_by_tool(w):
-    return insight.request_metrics(w.requests, ["tool_name"]).select("tool_name", "calls", "total_chars", "max_chars", "errors", (F.round(F.col("total_ms") * 1e3) / 1e3).alias("total_ms"))
+    return insight.request_metrics(w.requests, ["tool_name"]).select("tool_name", "calls", "total_chars", "max_chars", "errors", (F.round(F.col("total_ms") * 1e3) / 1e3).alias("total_ms"), (F.round(F.col("avg_ms") * 1e3) / 1e3).alias("avg_ms"))
+
 
+#: Events one after another for each user: the next number, and the last ten errors as number and tool.
+RETRIES = """WITH RECURSIVE s AS MATERIALIZED (SELECT user_id, event_id, event_type, event_id % 4 = 0 AS failed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+run AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS event_type, 0 AS next_seq, NULL::INT AS seq, NULL::INT AS again, []::STRUCT(n INT, t VARCHAR)[] AS errors FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT user_id, i, event_id, event_type, next_seq + 1 + (again IS NOT NULL)::INT, next_seq, again, CASE WHEN failed THEN list_slice(list_append(errors, {'n': next_seq, 't': event_type}), -10, -1) ELSE errors END
+  FROM (SELECT s.user_id, s.i, s.event_id, s.event_type, s.failed, next_seq, errors, CASE WHEN NOT s.failed THEN [e.n FOR e IN errors IF e.t = s.event_type AND next_seq - e.n <= 3][1] END AS again FROM run JOIN s ON s.user_id = run.user_id AND s.i = run.i + 1))
+SELECT user_id, event_id AS request_id, event_type AS tool_name, seq::INT AS seq, again::INT AS failed_seq FROM run WHERE again IS NOT NULL"""
 
-@query("""WITH s AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN true ELSE false END AS failed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
-m AS (SELECT *, min(CASE WHEN failed THEN seq END) OVER (PARTITION BY user_id, event_type ORDER BY seq RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING) AS failed_seq FROM s)
-SELECT user_id, event_id AS request_id, event_type AS tool_name, seq::INT AS seq, failed_seq::INT AS failed_seq FROM m WHERE NOT failed AND failed_seq IS NOT NULL""", graph=False)
+
+def _failing(w):
+    return w.requests.withColumn("error_message", F.when(F.col("request_id") % 4 == 0, "failed"))
+
+
+@query(RETRIES, graph=False)
 def retry_detection(w):
-    return insight.retries(w.requests.withColumn("error_message", F.when(F.col("request_id") % 4 == 0, "failed")), "user_id")
+    return insight.retries(_failing(w), "user_id")
+
+
+@query("SELECT count(*) AS calls, avg(length(props)) AS avg_chars, max(length(props))::INT AS max_chars FROM events WHERE event_type = 'click'", graph=False)
+def metrics_of_one_tool(w):
+    return insight.metrics_of(w.requests, "click")
+
+
+@query("SELECT event_id AS request_id, CASE event_id % 3 WHEN 0 THEN json_array_length('[' || event_id || ',' || user_id || ']') || ' items' WHEN 1 THEN len(json_keys(props)) || ' keys' ELSE '' END AS summary FROM events", graph=False)
+def result_summaries(w):
+    result = F.when(F.col("request_id") % 3 == 0, F.concat(F.lit(" ["), "request_id", F.lit(","), "user_id", F.lit("]"))).when(F.col("request_id") % 3 == 1, F.col("params_json")).otherwise("no json")
+    return insight.summaries(w.requests.withColumn("result_json", result))
 
 
 @query("SELECT DISTINCT a || '->' || b || ':' || edge_type AS edge_key FROM drawn WHERE edge_type IN ('OWNED_BY', 'DEPENDS_ON_DOMAIN')")
@@ -517,27 +615,56 @@ def domain_subgraph(w):
 
 
 # --- streams ---------------------------------------------------------------------------------------------------------
-def _folder(w) -> str:
-    return f"{(w.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='archloom-stream-')).rstrip('/')}/{abs(hash((w.sf_dir, id(w))))}"
-
-
-@query("SELECT event_id, event_type FROM events WHERE event_id > 5000", graph=False)
+@query("SELECT event_id, event_type FROM events WHERE event_id > 500", graph=False)
 def stream_requests_tail(w):
-    folder = _folder(w)
-    source = w.table("events")
-    source.write.mode("overwrite").parquet(f"{folder}/log")
+    folder, source = own_folder(w.spark, "stream"), w.table("events")
+    source.write.parquet(f"{folder}/log")
     sink = lambda batch, n: batch.select("event_id", "event_type").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
-    streams.tail(w.spark, f"{folder}/log", source.schema, f"{folder}/checkpoint", sink, after=5000, once=True, key="event_id").awaitTermination()
-    return w.spark.read.parquet(f"{folder}/out").select("event_id", "event_type")
+    streams.tail(w.spark, f"{folder}/log", source.schema, f"{folder}/checkpoint", sink, after=500, once=True, key="event_id").awaitTermination()
+    return _taken(w, folder, "event_id", "event_type")
+
+
+def _taken(w, folder: str, *columns: str) -> DataFrame:
+    """What a stream wrote below its folder, which goes."""
+    rows = cut(w.spark.read.parquet(f"{folder}/out").select(*columns))
+    remove(w.spark, folder)
+    return rows
 
 
 @query(f"SELECT CASE WHEN {CHANGED} THEN 'stale' ELSE status END AS status, count(*) AS n FROM evidence GROUP BY ALL")
 def stream_invalidate(w):
-    folder = _folder(w)
-    _changed(w).select(F.lit(1).cast("long").alias("revision_id"), "file_path").withColumnRenamed("revision_id", "revision").write.mode("overwrite").parquet(f"{folder}/changes")
-    write = lambda after, judged: after.groupBy("status").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/after")
+    folder = own_folder(w.spark, "stream")
+    _changed(w).select(F.lit(1).cast("long").alias("revision"), "file_path").write.parquet(f"{folder}/changes")
+    write = lambda after, judged: after.groupBy("status").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/out")
     streams.invalidate_changed(w.spark, f"{folder}/changes", f"{folder}/checkpoint", lambda: w.evidence, write, once=True).awaitTermination()
-    return w.spark.read.parquet(f"{folder}/after")
+    return _taken(w, folder, "status", "n")
+
+
+@query(RETRIES, graph=False)
+def stream_retries(w):
+    """The log in two batches, in order: what sessions remember goes on from one to the other."""
+    folder, rows = own_folder(w.spark, "stream"), _failing(w).select("request_id", "user_id", "tool_name", "error_message")
+    half = rows.agg(F.max("request_id")).first()[0] // 2
+    for n, part in enumerate((rows.where(F.col("request_id") <= half), rows.where(F.col("request_id") > half))):
+        part.write.mode("append").parquet(f"{folder}/log")
+        sink = lambda batch, i, n=n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}-{i}")
+        streams.retries(w.spark.readStream.schema(rows.schema).parquet(f"{folder}/log"), "user_id", sink, f"{folder}/checkpoint", once=True).awaitTermination()
+    return _taken(w, folder, "user_id", "request_id", "tool_name", "seq", "failed_seq")
+
+
+@query("SELECT 'missing_edge' AS category, count(*)::INT AS n FROM region WHERE r_regionkey < 3 UNION ALL SELECT 'missing_edge', count(*)::INT FROM region", graph=False)
+def stream_import_discoveries(w):
+    """Two payload files with nodes that nothing tells of; after each, the nodes without evidence are counted."""
+    folder = own_folder(w.spark, "stream")
+    store = GraphStore(w.spark, f"{folder}/graph")
+    node = F.struct(F.concat(F.lit("ownership:domain:shop:region-"), "r_regionkey").alias("node_key"), F.lit("ownership").alias("layer"), F.lit("domain").alias("node_type"), F.lit("shop").alias("domain_key"), F.col("r_name").alias("name"))
+    none = lambda name: F.array().cast(PAYLOAD[name]).alias(name)
+    files = w.table("region").groupBy(F.floor(F.col("r_regionkey") / 3).alias("part")).agg(F.collect_list(node).alias("nodes")).select("part", "nodes", none("edges"), none("evidence"), none("aliases"))
+    files.repartition(1).write.partitionBy("part").json(f"{folder}/in")
+    streams.import_payloads(store, f"{folder}/in/*", f"{folder}/checkpoint", once=True, clock="2024-01-01 00:00:00").awaitTermination()
+    found = lookup.discoveries(store.table("discoveries"), "shop", "missing_edge").select("category", F.regexp_extract("title", r"^rule 2: (\d+)$", 1).try_cast("int").alias("n")).where("n is not null")
+    found.write.parquet(f"{folder}/out")
+    return _taken(w, folder, "category", "n")
 
 
 __all__ = ["BRAND", "ORACLES", "ORDER", "QUERIES"]

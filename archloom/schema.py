@@ -21,7 +21,7 @@ TABLES = {
     "contexts": "context_id bigint, domain_key string, name string, git_ref string, base_context_id bigint, base_revision_id bigint, head_revision_id bigint, head_commit_sha string, status string",
     "changelog": "change_id bigint, context_id bigint, revision_id bigint, entity_type string, entity_key string, change_type string",
     "glossary": "domain_key string, term string, context string, definition string, aliases array<string>, anti_patterns array<string>, examples array<string>",
-    "discoveries": "discovery_id bigint, domain_key string, category string, severity string, title string, description string, confidence double, applied boolean",
+    "discoveries": "discovery_id bigint, domain_key string, category string, severity string, title string, description string, confidence double, applied boolean, created_at timestamp",
     "requests": "request_id bigint, ts timestamp, tool_name string, params_json string, result_json string, error_message string, duration_ms double",
     "settings": "key string, value string",
     "diagram_sessions": "session_id string, body string",

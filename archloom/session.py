@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +22,30 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> S
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, or by the context. Only a local session may have one of its own, as executors
+    elsewhere wouldn't see it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not named and context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="archloom-"))
+    return (named or context.getCheckpointDir()).rstrip("/")
+
+
+def own_folder(spark: SparkSession, what: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_dir(spark)}/{what}-{uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """The rows from the shared checkpoint folder; without spark.checkpoint.dir a folder of our own (tests)."""
-    spark = frame.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="archloom-"))
-    return frame.checkpoint(eager=True)
+    """Write the rows as a table in the shared folder and go on from there; survives lost executors."""
+    folder = own_folder(frame.sparkSession, "cut")
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)

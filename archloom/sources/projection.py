@@ -93,6 +93,14 @@ class World:
         ]
         return _union(parts)
 
+    def open(self, frame: DataFrame) -> DataFrame:
+        """Rows as open versions."""
+        return frame.withColumn("valid_to", F.lit(None).cast("long"))
+
+    @cached_property
+    def open_nodes(self) -> DataFrame:
+        return self.open(self.nodes).withColumn("repo_name", F.lit("shop"))
+
     @cached_property
     def drawn(self) -> DataFrame:
         """Edges before evidence: only these if no query asks for trust of calls."""

@@ -25,20 +25,24 @@ class Registry:
 
     @classmethod
     def parse(cls, text: str) -> Registry:
-        raw = yaml.safe_load(text)
-        layers = frozenset(raw["layers"])
-        span = lambda names: layers if names == "all" else frozenset(names.split())
-        edges = {k: (span(a), span(b)) for k, (a, b, _) in raw["edge_types"].items()}
-        if unknown := (set(raw["node_types"]) | {x for a, b in edges.values() for x in a | b}) - layers:
+        raw = yaml.safe_load(text) or {}
+        of = lambda part, key: frozenset((part or {}).get(key) or ())
+        layers = of(raw, "layers")
+        types = {k: frozenset(v or ()) for k, v in (raw.get("node_types") or {}).items()}
+        edges = {k: (of(v, "from_layers"), of(v, "to_layers")) for k, v in (raw.get("edge_types") or {}).items()}
+        if unknown := (set(types) | {x for a, b in edges.values() for x in a | b}) - layers:
             raise ValueError(f"unknown layers: {sorted(unknown)}")
-        flagged = lambda f: frozenset(k for k, v in raw["edge_types"].items() if v[2] == f)
-        kinds = {k: frozenset(raw[k]) for k in ("derivation_kinds", "source_kinds", "node_statuses", "trigger_kinds")}
-        return cls(layers, {k: frozenset(v) for k, v in raw["node_types"].items()}, edges, flagged("S"), flagged("N"), **kinds)
+        policy = raw.get("traversal_policy")
+        kinds = {k: of(raw, k) for k in ("derivation_kinds", "source_kinds", "node_statuses", "trigger_kinds")}
+        return cls(layers, types, edges, of(policy, "structural_edge_types"), of(policy, "no_reverse_impact"), **kinds)
 
     @classmethod
     def load(cls, path: str | Path = DEFAULT) -> Registry:
         return cls.parse(Path(path).read_text())
 
+    def forward_allowed(self, edge_type: str) -> bool:
+        return edge_type not in self.structural
+
     def reverse_allowed(self, edge_type: str) -> bool:
         return edge_type not in self.structural | self.no_reverse
 
