@@ -186,12 +186,12 @@ class GraphStore:
         return found
 
     # --- small tables ------------------------------------------------------------------------------------------------
-    def _row(self, name: str, **values: object) -> DataFrame:
+    def _row(self, name: str, /, **values: object) -> DataFrame:
         """One row with the types of a table."""
         kinds = dict(self.table(name).dtypes)
         return self.spark.range(1).coalesce(1).select(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in values.items()))
 
-    def _append(self, name: str, number: str, unique: tuple[str, ...], **values: object) -> int:
+    def _append(self, name: str, number: str, unique: tuple[str, ...], /, **values: object) -> int:
         with self._change():
             after = cut(ledger.append(self.table(name), self._row(name, **values), number, unique))
             self.commit({name: after})

@@ -11,15 +11,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from archloom.functions import keys
-from archloom.operators import insight, mutate, paths, temporal, traverse, trust, validate
+from archloom.operators import insight, ledger, lookup, mutate, paths, temporal, traverse, trust, validate
 from archloom.schema import TABLES
+from archloom.session import own_folder, shared_dir
 from archloom.sources import payload
 from archloom.sources.registry import Manifest, Registry
-from archloom.store import GraphStore, ImportFailed
+from archloom.store import Busy, GraphStore, ImportFailed
 
 REGISTRY = Registry.load()
-M, A, B, C, D, E = (f"code:provider:x:{c}" for c in "mabcde")
-CHAIN = [(M, A, "CONTAINS", "hard"), (A, B, "INJECTS", "hard"), (B, C, "INJECTS", "hard"), (C, D, "CALLS_SERVICE", "linked"), (A, E, "EXPOSES_ENDPOINT", "hard")]
+A, B, C, D = (f"code:provider:x:{c}" for c in "abcd")
+SHELF, WEB, CART, PRICE, STOCK, DEPOT, PAGE = (f"code:provider:x:{c}" for c in "shelf web cart price stock depot page".split())
+SHOP = [(SHELF, WEB, "CONTAINS", "hard"), (WEB, CART, "INJECTS", "hard"), (WEB, PRICE, "IMPORTS", "linked"), (CART, STOCK, "INJECTS", "hard"), (PRICE, STOCK, "INJECTS", "hard"), (STOCK, DEPOT, "CALLS_SERVICE", "linked"), (WEB, PAGE, "EXPOSES_ENDPOINT", "hard")]
 BASE = {"hard": 0.5, "linked": 0.4}
 
 
@@ -35,6 +37,8 @@ def test_registry_and_manifest():
     assert not REGISTRY.reverse_allowed("CONTAINS") and not REGISTRY.reverse_allowed("EXPOSES_ENDPOINT") and REGISTRY.reverse_allowed("INJECTS")
     with pytest.raises(ValueError, match="unknown layers"):
         Registry.parse("layers: [code]\nnode_types: {cloud: [x]}\nedge_types: {}\nderivation_kinds: []\nsource_kinds: []\nnode_statuses: []\ntrigger_kinds: []")
+    own = Registry.parse("version: '1'\nlayers: [code, data]\nnode_types: {code: [module]}\nedge_types:\n  READS: {from_layers: [code], to_layers: [data, code]}\n  HOLDS: {from_layers: [code], to_layers: [code]}\ntraversal_policy: {structural_edge_types: [HOLDS], no_reverse_impact: [READS]}")
+    assert own.edge_types["READS"] == ({"code"}, {"data", "code"}) and own.forward_allowed("READS") and not own.forward_allowed("HOLDS") and not own.reverse_allowed("READS")
     assert Manifest.parse("domain: d\nrepositories: [{name: a, path: b}]").domain == "d"
     with pytest.raises(ValueError, match="domain"):
         Manifest.parse("repositories: [{name: a, path: b}]")
@@ -51,44 +55,46 @@ def test_keys(spark):
 
 
 def test_deps(spark):
-    nodes, edges = graph(spark, CHAIN)
-    got = traverse.deps(nodes, edges, A, 2).orderBy("depth", "via").collect()
-    assert [(r.node_key, r.depth) for r in got] == [(B, 1), (E, 1), (C, 2)]
-    assert traverse.deps(nodes, edges, M, 1).first().node_key == A  # structural edges are walked
-    assert {r.node_key for r in traverse.deps(nodes, edges, D, 9, reverse=True).collect()} == {C, B, A, M}
-    assert D not in {r.node_key for r in traverse.deps(nodes, edges, A, 9, derivations=("hard",)).collect()}
-    assert traverse.deps(nodes, edges, A, 0).count() == 0
+    nodes, edges = graph(spark, SHOP)
+    got = traverse.deps(nodes, edges, WEB, 2).orderBy("depth", "via").collect()
+    assert [(r.node_key, r.depth) for r in got] == [(CART, 1), (PAGE, 1), (PRICE, 1), (STOCK, 2)]
+    assert got[-1].via == f"{WEB}->{CART}:INJECTS|{CART}->{STOCK}:INJECTS"
+    assert traverse.deps(nodes, edges, SHELF, 1).first().node_key == WEB  # structural edges are walked
+    assert {r.node_key for r in traverse.deps(nodes, edges, DEPOT, 9, reverse=True).collect()} == {STOCK, CART, PRICE, WEB, SHELF}
+    assert {r.node_key for r in traverse.deps(nodes, edges, WEB, 9, derivations=("hard",)).collect()} == {CART, PAGE, STOCK}
+    assert traverse.deps(nodes, edges, WEB, 0).count() == 0
     with pytest.raises(LookupError):
         traverse.deps(nodes, edges, "code:provider:x:none", 1)
 
 
-def test_impact(spark):
-    nodes, edges = graph(spark, CHAIN)
-    found = traverse.impact(nodes, edges, REGISTRY, D, 4)
+def test_impact(spark, monkeypatch):
+    nodes, edges = graph(spark, SHOP)
+    found = traverse.impact(nodes, edges, REGISTRY, DEPOT, 5)
     got = {r.node_key: (r.depth, r.score, r.trust_chain) for r in found.nodes.collect()}
-    assert got == {C: (1, 40.0, 0.4), B: (2, 19.0, 0.2), A: (3, 9.03, 0.1)}  # the container isn't hit
+    assert got == {STOCK: (1, 40.0, 0.4), CART: (2, 19.0, 0.2), PRICE: (2, 19.0, 0.2), WEB: (3, 9.03, 0.1)}  # the container isn't hit
     assert found.max_depth_reached == 3
-    assert [(r.target_key, r.exposed_by, r.kind) for r in found.surface.collect()] == [(E, A, "endpoint")]
-    high = traverse.impact(nodes, edges, REGISTRY, D, 4, min_score=15)
-    assert high.nodes.count() == 2 and high.max_depth_reached == 3
-    own = traverse.impact(nodes, edges, REGISTRY, A, 4)
+    assert [(r.target_key, r.exposed_by, r.kind) for r in found.surface.collect()] == [(PAGE, WEB, "endpoint")]
+    high = traverse.impact(nodes, edges, REGISTRY, DEPOT, 5, min_score=15)
+    assert high.nodes.count() == 3 and high.max_depth_reached == 3
+    own = traverse.impact(nodes, edges, REGISTRY, WEB, 4)
     assert own.nodes.count() == 0 and own.surface.first().exposed_by == "(changed)"
-    same = traverse.impact(nodes, edges, REGISTRY, D, 4, include_structural=True)
-    assert same.nodes.count() == 3
+    monkeypatch.setattr(traverse, "SMALL_FRONTIER", 0)  # frontiers are shuffled, not broadcast
+    same = traverse.impact(nodes, edges, REGISTRY, DEPOT, 5, include_structural=True)
+    assert {r.node_key: (r.depth, r.score, r.trust_chain) for r in same.nodes.collect()} == got
 
 
 def test_paths(spark):
-    _, edges = graph(spark, CHAIN)
-    got = paths.paths(edges, REGISTRY, A, D, 6).collect()
-    assert [(r.depth, r.cost, r.score) for r in got] == [(3, 2.4526, 0.0903)]
-    assert paths.paths(edges, REGISTRY, A, D, 6, derivations=("hard",)).count() == 0
-    assert paths.paths(edges, REGISTRY, D, A, 6).count() == 0 and paths.paths(edges, REGISTRY, D, A, 6, connected=True).count() == 1
-    assert paths.paths(edges, REGISTRY, A, A, 6).count() == 0
-    assert paths.paths(edges, REGISTRY, M, B, 6).count() == 0 and paths.paths(edges, REGISTRY, M, B, 6, structural=True).count() == 1
-    topic = "contract:topic:x:t"
-    _, edges = graph(spark, [(A, topic, "PUBLISHES_TOPIC", "hard"), (B, topic, "CONSUMES_TOPIC", "linked"), (B, C, "INJECTS", "hard")])
-    got = paths.paths(edges, REGISTRY, A, B, 4).collect()
-    assert [(r.depth, r.cost, r.score, r.edges) for r in got] == [(2, 1.7094, 0.19, f"{A}->{topic}:PUBLISHES_TOPIC,{B}->{topic}:CONSUMES_TOPIC")]
+    _, edges = graph(spark, SHOP)
+    got = paths.paths(edges, REGISTRY, WEB, DEPOT, 6).collect()
+    assert [(r.depth, r.cost, r.score, r.total_found) for r in got] == [(3, 2.4526, 0.0903, 2), (3, 2.6757, 0.0722, 2)]
+    assert paths.paths(edges, REGISTRY, WEB, DEPOT, 6, derivations=("hard",)).count() == 0
+    assert paths.paths(edges, REGISTRY, DEPOT, WEB, 6).count() == 0 and paths.paths(edges, REGISTRY, DEPOT, WEB, 6, connected=True).count() == 2
+    assert paths.paths(edges, REGISTRY, WEB, WEB, 6).count() == 0
+    assert paths.paths(edges, REGISTRY, SHELF, CART, 6).count() == 0 and paths.paths(edges, REGISTRY, SHELF, CART, 6, structural=True).count() == 1
+    topic = "contract:topic:x:sold"
+    _, edges = graph(spark, [(CART, topic, "PUBLISHES_TOPIC", "hard"), (PRICE, topic, "CONSUMES_TOPIC", "linked"), (PRICE, STOCK, "INJECTS", "hard")])
+    got = paths.paths(edges, REGISTRY, CART, STOCK, 4).collect()
+    assert [(r.depth, r.cost, r.score, r.types) for r in got] == [(3, 2.4526, 0.0903, "PUBLISHES_TOPIC,CONSUMES_TOPIC,INJECTS")]
 
 
 def _queue_walk(edges, start, depth):
@@ -213,9 +219,103 @@ def test_versions_and_visibility(spark):
     assert sorted((r.node_key, r.revision_id, r.change_type) for r in log.collect()) == [("k", 1, "created"), ("k", 5, "updated"), ("n", 5, "created")]
 
 
+def test_equal_keys_in_a_batch(spark):
+    table = spark.createDataFrame([(1, "k", "a", "old", 1, 1, None, None)], "node_id bigint, node_key string, layer string, name string, first_seen bigint, last_seen bigint, valid_from bigint, valid_to bigint")
+    batch = lambda *rows: spark.createDataFrame(list(rows), "position int, node_key string, layer string, name string, first_seen bigint, last_seen bigint")
+    after = mutate.upsert(table, batch((0, "k", "a", "z", 9, 9), (1, "k", "a", "b", 9, 9), (2, "n", "a", "x", 9, 9)), "node_key", "node_id", fixed=("layer",))
+    assert sorted((r.node_key, r.name, r.first_seen, r.last_seen) for r in after.collect()) == [("k", "b", 1, 9), ("n", "x", 9, 9)]
+    with pytest.raises(ValueError, match="of n cannot change"):
+        mutate.upsert(table, batch((0, "n", "a", "x", 9, 9), (1, "n", "b", "x", 9, 9)), "node_key", "node_id", fixed=("layer",))
+
+
+def _retries(calls):
+    """Retries of one session by the rules, written out: (tool, failed) in order."""
+    seq, errors, out = 0, [], []
+    for i, (tool, bad) in enumerate(calls):
+        if bad:
+            errors = (errors + [(seq, tool)])[-10:]
+        else:
+            hit = [n for n, t in errors if t == tool and seq - n <= 3]
+            if hit:
+                out.append((i, seq, hit[0]))
+                seq += 1
+        seq += 1
+    return out
+
+
+def test_retries(spark):
+    rng = random.Random(5)
+    logs = {u: [(rng.choice("ab"), rng.random() < 0.5) for _ in range(60)] for u in range(4)}
+    rows = [(u, u * 1000 + i, tool, "failed" if bad else ["", None][i % 2]) for u, log in logs.items() for i, (tool, bad) in enumerate(log)]
+    frame = spark.createDataFrame(rows, "user_id bigint, request_id bigint, tool_name string, error_message string")
+    got = sorted((r.user_id, r.request_id - r.user_id * 1000, r.seq, r.failed_seq) for r in insight.retries(frame, "user_id").collect())
+    assert got == sorted((u, *x) for u, log in logs.items() for x in _retries(log)) and len(got) > 20
+
+
+def test_store_records(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "graph"))
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    main = store.create_context("x", "main", "main")
+    assert store.create_revision("x", "abc", context=main) == 1 and store.create_revision("x", "def", trigger="manual", context=main) == 2
+    with pytest.raises(ledger.Taken):
+        store.create_revision("x", "abc")
+    with pytest.raises(ValueError, match="unknown trigger"):
+        store.create_revision("x", "ghi", trigger="whim")
+    store.move_context(main, 2, "def")
+    head = lookup.context_by_ref(store.table("contexts"), "x", "main").first()
+    assert (head.head_revision_id, head.head_commit_sha) == (2, "def")
+    store.archive_context(main)
+    assert lookup.context_by_ref(store.table("contexts"), "x", "main").count() == 0
+    with pytest.raises(LookupError):
+        store.archive_context(99)
+    assert store.create_snapshot(2, "x", clock="2024-01-01 00:00:00") == 1
+    payload_rows = [{"position": 0, **node(A), "status": "", "metadata": "", "confidence": 0.0}, {"position": 1, **node(B), "status": "", "metadata": "", "confidence": 0.0}]
+    store.upsert_nodes(spark.createDataFrame(payload_rows), 1)
+    store.upsert_nodes(spark.createDataFrame(payload_rows[:1]), 2, version=2, context=main)
+    versions = store.table("nodes").where(F.col("node_key") == A).orderBy("node_id").collect()
+    assert [(r.valid_from, r.valid_to, r.first_seen) for r in versions] == [(None, 2, 1), (2, None, 2)]
+    link = {"position": 0, **edge(A, B), "edge_key": "", "derivation_kind": "linked", "confidence": 0.9, "metadata": ""}
+    store.upsert_edges(spark.createDataFrame([link]), 2)
+    assert store.table("edges").first().trust_score == 0.4
+    with pytest.raises(ImportFailed, match="to node not found"):
+        store.upsert_edges(spark.createDataFrame([link | {"to_node_key": C}]))
+    seen = {"position": 0, "target_kind": "node", "node_key": A, "edge_key": "", "source_kind": "file", "repo_name": "r", "file_path": "a.py", "line_start": 1, "line_end": 2, "extractor_id": "x", "extractor_version": "1", "commit_sha": "", "confidence": 0.0, "polarity": "positive"}
+    store.add_evidence(spark.createDataFrame([seen]), 2)
+    with pytest.raises(ImportFailed, match="unknown source kind"):
+        store.add_evidence(spark.createDataFrame([seen | {"source_kind": "rumour"}]))
+    with pytest.raises(ImportFailed, match="target not found"):
+        store.add_evidence(spark.createDataFrame([seen | {"node_key": C}]))
+    assert sorted((r.valid_to or 0, round(r.trust_score, 2)) for r in store.table("nodes").where(F.col("node_key") == A).collect()) == [(0, 0.85), (2, 0.0)]
+    store.put_setting("mode", "a")
+    store.put_setting("mode", "b")
+    store.put_diagram("d1", "{}")
+    assert lookup.setting(store.table("settings"), "mode") == "b" and lookup.diagrams(store.table("diagram_sessions")).count() == 1
+    status = store.scan_status("x")
+    assert status == {"nodes": 2, "edges": 1, "revision_id": 2, "commit": "def", "snapshot_id": 1}
+    assert {r.rule for r in store.discover("2024-01-01 00:00:00").collect()} >= {1, 2} and store.table("discoveries").count() >= 2
+    store.delete_node(B)
+    assert store.mark_stale("x", 9) == (2, 1)  # all versions of a node
+    store.log_changes(rows([(1, 2, "node", A, "updated")], "context_id bigint, revision_id bigint, entity_type string, entity_key string, change_type string"))
+    assert lookup.changes(store.table("changelog"), 1, A, 1, 2).count() == 1 and lookup.changes(store.table("changelog"), 1, A, 3).count() == 0
+    store.reset()
+    assert store.table("settings").count() == 0 and store.table("diagram_sessions").count() == 1
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    store, other = (GraphStore(spark, str(tmp_path / "graph")) for _ in range(2))
+    with store._change(), pytest.raises(Busy):
+        other.put_setting("a", "b")
+    other.put_setting("a", "b")
+    assert lookup.setting(store.table("settings"), "a") == "b"
+
+
+def test_shared_folder(spark):
+    assert shared_dir(spark) == shared_dir(spark) and own_folder(spark, "x") != own_folder(spark, "x")
+
+
 def test_resolve_and_checks(spark):
-    nodes, edges = graph(spark, CHAIN + [(A, "service:service:x:A", "CALLS_SERVICE", "hard")])
-    assert insight.resolve(nodes, A) == A and insight.resolve(nodes, "m") == M
+    nodes, edges = graph(spark, SHOP + [(WEB, "service:service:x:web", "CALLS_SERVICE", "hard")])
+    assert insight.resolve(nodes, WEB) == WEB and insight.resolve(nodes, "shel") == SHELF
     with pytest.raises(LookupError, match="no node"):
         insight.resolve(nodes, "zzz")
     assert validate.integrity(nodes.withColumn("confidence", F.lit(0.5)), edges).count() == 0
