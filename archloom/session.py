@@ -44,8 +44,18 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Makes Spark delete a finished execution's shuffle files.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """Write the rows as a table in the shared folder and go on from there; survives lost executors."""
-    folder = own_folder(frame.sparkSession, "cut")
-    frame.write.parquet(folder)
-    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+    """Write the rows as a table in the shared folder and go on from there; survives lost executors. The shuffle files that
+    led to them are deleted, as nothing reads them again. Columns of ids and hashes take much less room than in a checkpoint."""
+    spark = frame.sparkSession
+    folder, before = own_folder(spark, "cut"), spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        frame.select("*").write.parquet(folder)  # a frame of its own, which no other action runs
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(frame.schema).parquet(folder)
