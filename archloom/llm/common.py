@@ -1,44 +1,15 @@
-"""Shared helpers: the folder every executor sees, lineage cuts, free column names."""
+"""Shared helpers: free column names, values used twice, the learned split."""
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable
-from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archloom.session import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or by the context. Only a local session may have one of its own, as executors
-    elsewhere wouldn't see it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not named and context.getCheckpointDir() is None:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="archloom-checkpoint-"))
-    return (named or context.getCheckpointDir()).rstrip("/")
-
-
-#: Makes Spark delete a finished execution's shuffle files.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def cut(frame: DataFrame) -> DataFrame:
-    """Write the rows as a table in the shared folder and go on from there; survives lost executors. The shuffle files that
-    led to them are deleted, as nothing reads them again. Columns of ids and hashes take much less room than in a checkpoint."""
-    spark = frame.sparkSession
-    folder = f"{shared_dir(spark)}/cut-{uuid4().hex}"
-    before = spark.conf.get(_CLEAN)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        frame.select("*").write.parquet(folder)  # a frame of its own, which no other action runs
-    finally:
-        spark.conf.set(_CLEAN, before)
-    return spark.read.schema(frame.schema).parquet(folder)
+__all__ = ["cut", "free", "learned_split", "let", "shared_dir", "whole_text"]
 
 
 def free(frame: DataFrame, *names: str) -> list[str]:

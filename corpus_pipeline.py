@@ -6,14 +6,13 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archloom.llm import exact_dedup, ngram_join, packing, pii, toxicity
-from archloom.llm.common import free, learned_split, shared_dir
+from archloom.llm.common import free, learned_split
 from archloom.llm.queries import PII_KEY, table, token_counts
+from archloom.session import own_folder, remove
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +55,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     there as soon as the next stage is written; the last one's rows stay. Null and empty texts, repeated rows and empty tables
     are treated as each stage says; columns that documents have besides go with the rows up to the last stage."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid4().hex}"
+    folder = own_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
         if i:
-            done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
-            done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
+            remove(spark, f"{folder}/{i - 1}")
     return docs
