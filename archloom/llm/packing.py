@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archloom.llm.common import cut
+
 #: Mean number of documents of a shard.
 SHARD_DOCS = 4096
 #: Rows that repeat id and length and go to one shard together.
@@ -96,12 +98,14 @@ def place(lengths: Sequence[int], capacities: Sequence[int], overhead: int) -> l
     return out + [(d, i, s, n, len(sizes) + b, top, 0) for b, (d, i, s, n) in enumerate(full)]
 
 
-def _dealt(rows: DataFrame, names: list[str], shard_docs: int, total: int) -> DataFrame:
-    """Equal rows counted, in runs of a bounded number of copies, each in its shard; whole shards in the order of names."""
+def _dealt(rows: DataFrame, names: list[str], shard_docs: int) -> DataFrame:
+    """Equal rows counted, in runs of a bounded number of copies, each in its shard; whole shards in the order of names. The
+    rows are written first, as their number is needed and lengths or ids are dear to compute."""
+    rows = cut(rows)
     counted = rows.groupBy(*names).agg(F.count("*").alias("copies"))
     runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / RUN))))
     runs = runs.withColumn("copies", F.least(F.lit(RUN), F.col("copies") - F.col("run") * RUN))
-    shards = max(1, -(-total // shard_docs))
+    shards = max(1, -(-rows.count() // shard_docs))
     dealt = runs.withColumn("shard", F.pmod(F.xxhash64(*names, "run"), F.lit(shards)))
     # each shard alone in a partition's order; a partition may hold several
     return dealt.select("shard", "copies", *names).repartition(F.col("shard")).sortWithinPartitions("shard", *names)
@@ -136,7 +140,7 @@ def pack(docs: DataFrame, length: Column | None = None, doc_id: str = "doc_id",
             rows += [(doc, 0, 0, 0, shard, None, None, None) for doc, n in held if not n]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
 
-    return _dealt(sized, ["doc_id", "n"], shard_docs, docs.count()).mapInArrow(run, "doc_id bigint, piece int, start bigint, n_tokens bigint, shard bigint, bin int, capacity int, offset int")
+    return _dealt(sized, ["doc_id", "n"], shard_docs).mapInArrow(run, "doc_id bigint, piece int, start bigint, n_tokens bigint, shard bigint, bin int, capacity int, offset int")
 
 
 _PIECES = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("offset", pa.int32())]))
@@ -161,4 +165,4 @@ def sequences(encoded: DataFrame, ids: str = "ids", doc_id: str = "doc_id", capa
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[start : start + 256], strict=True), _SEQUENCE, strict=True)], schema=_SEQUENCE)
 
     pieces = "array<struct<doc_id:bigint,piece:int,start:bigint,n_tokens:bigint,offset:int>>"
-    return _dealt(rows, ["doc_id", "ids"], shard_docs, rows.count()).mapInArrow(run, f"shard bigint, bin int, capacity int, ids array<int>, pieces {pieces}")
+    return _dealt(rows, ["doc_id", "ids"], shard_docs).mapInArrow(run, f"shard bigint, bin int, capacity int, ids array<int>, pieces {pieces}")
