@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Anti-patterns up to which nodes are looked through for all of them at once.
+FEW_PATTERNS = 500
 #: Errors that a session remembers, and how many numbers later a success still counts as a retry.
 REMEMBERED_ERRORS, RETRY_WITHIN = 10, 3
 
@@ -107,10 +110,17 @@ def discoveries(nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> Data
 
 def language_violations(nodes: DataFrame, glossary: DataFrame) -> DataFrame:
     """Nodes whose name or key has an anti-pattern of a term, in any case (glossary: term, anti_patterns). Names and keys are
-    cut into the pieces that are as long as some anti-pattern, and pieces are joined with anti-patterns by equality. Only the
-    different lengths come to the driver."""
+    cut into the pieces that are as long as some anti-pattern, and pieces are joined with anti-patterns by equality. Up to
+    FEW_PATTERNS different anti-patterns also go into one expression that leaves out nodes without any; the rows are the same
+    either way. Only those patterns or the different lengths come to the driver."""
     terms = glossary.select("term", F.explode("anti_patterns").alias("anti_pattern")).where("anti_pattern is not null")
-    lengths = [r[0] for r in terms.select(F.length(F.lower("anti_pattern"))).distinct().collect()]
+    lowered = terms.select(F.lower("anti_pattern").alias("p")).distinct()
+    few = [r.p for r in lowered.limit(FEW_PATTERNS + 1).collect()]
+    if len(few) <= FEW_PATTERNS:
+        lengths = {len(p) for p in few}
+        nodes = nodes.where(F.lower(F.concat_ws("\n", "name", "node_key")).rlike("|".join(map(re.escape, few)))) if few else nodes.where("false")
+    else:
+        lengths = {r[0] for r in lowered.select(F.length("p")).distinct().collect()}
     ends = lambda c, n: F.sequence(F.lit(1), F.length(c) - n + 1)
     cut = lambda c, n: F.when(F.length(c) >= n, F.transform(ends(c, n), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     of = [cut(F.lower(F.coalesce(c, F.lit(""))), n) for c in ("name", "node_key") for n in sorted(lengths)]

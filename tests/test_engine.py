@@ -228,6 +228,16 @@ def test_equal_keys_in_a_batch(spark):
         mutate.upsert(table, batch((0, "n", "a", "x", 9, 9), (1, "n", "b", "x", 9, 9)), "node_key", "node_id", fixed=("layer",))
 
 
+@pytest.mark.parametrize("few", [500, 1])
+def test_language_violations(spark, monkeypatch, few):
+    monkeypatch.setattr(insight, "FEW_PATTERNS", few)
+    nodes = spark.createDataFrame([("code:a:x:Wid.get", "Wid.get (old)"), ("code:a:x:b", None), ("code:a:x:widxget", "gadget"), ("k", "ÄRGER")], "node_key string, name string")
+    glossary = spark.createDataFrame([("part", ["wid.GET", "(OLD"]), ("item", ["gadget", "x:b", None]), ("joy", ["ärger"]), ("none", [])], "term string, anti_patterns array<string>")
+    got = sorted((r.node_key, r.anti_pattern) for r in insight.language_violations(nodes, glossary).collect())
+    assert got == [("code:a:x:Wid.get", "(OLD"), ("code:a:x:Wid.get", "wid.GET"), ("code:a:x:b", "x:b"), ("code:a:x:widxget", "gadget"), ("k", "ärger")]
+    assert insight.language_violations(nodes, glossary.limit(0)).count() == 0
+
+
 def _retries(calls):
     """Retries of one session by the rules, written out: (tool, failed) in order."""
     seq, errors, out = 0, [], []
