@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from archloom.functions.scores import path_cost, path_score
 from archloom.operators.traverse import SMALL_FRONTIER
-from archloom.session import cut
+from archloom.session import cut, cut_counted
 from archloom.sources.registry import Registry
 
 TOPIC = "contract:topic:"
@@ -41,8 +41,8 @@ def paths(edges: DataFrame, registry: Registry, start: str, end: str, depth: int
     for i in range(1, depth):  # how many hops a node is from the target, at least
         close = F.broadcast(ring) if n <= SMALL_FRONTIER else ring
         ring = steps.select("a", "b").join(close, F.col("node") == F.col("b")).select(F.col("a").alias("node"), F.lit(i).alias("left")).distinct()
-        ring = cut(ring.join(near.select("node"), "node", "left_anti"))
-        if not (n := ring.count()):
+        ring, (n,) = cut_counted(ring.join(near.select("node"), "node", "left_anti"), F.count("*"))
+        if not n:
             break
         near = near.unionAll(ring)
     useful = cut(steps.join(near, F.col("b") == F.col("node")).drop("node"))
@@ -51,9 +51,9 @@ def paths(edges: DataFrame, registry: Registry, start: str, end: str, depth: int
     hits, found, n = None, 0, 1
     for d in range(1, depth + 1):
         grown = useful.join(F.broadcast(level) if n <= SMALL_FRONTIER else level, (F.col("at") == F.col("a")) & (F.col("left") <= depth - d) & ~F.array_contains("nodes", F.col("b")))
-        level = cut(grown.select(F.col("b").alias("at"), F.array_append("nodes", F.col("b")).alias("nodes"), F.array_append("ord", F.struct("list", "edge_key")).alias("ord"), F.array_append("types", F.col("edge_type")).alias("types"), F.array_append("confidences", F.col("confidence")).alias("confidences")))
+        grown = grown.select(F.col("b").alias("at"), F.array_append("nodes", F.col("b")).alias("nodes"), F.array_append("ord", F.struct("list", "edge_key")).alias("ord"), F.array_append("types", F.col("edge_type")).alias("types"), F.array_append("confidences", F.col("confidence")).alias("confidences"))
+        level, counts = cut_counted(grown, F.count_if(F.col("at") == end), F.count("*"))
         here = level.where(F.col("at") == end)
-        counts = level.agg(F.count_if(F.col("at") == end), F.count("*")).first()
         found, n = found + counts[0], counts[1] - counts[0]
         hits = here if hits is None else hits.unionAll(here)
         level = level.where(F.col("at") != end)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archloom.functions.scores import impact_score, round_at
-from archloom.session import cut
+from archloom.session import cut, cut_counted
 from archloom.sources.registry import Registry
 
 #: Rows of a frontier up to which it is broadcast; a row holds the way from the start, so its size is bounded by the depth.
@@ -37,31 +37,37 @@ def current(frame: DataFrame, key: str, number: str) -> DataFrame:
     return opened.groupBy(key).agg(F.max_by(F.struct(*frame.columns), number).alias("_row")).select("_row.*")
 
 
-def walk(edges: DataFrame, start: str, depth: int, reverse: bool = False) -> DataFrame:
+def known(nodes: DataFrame, key: str) -> None:
+    """An unknown node is an error. One job reads the keys of all partitions side by side."""
+    if not nodes.where(F.col("node_key") == key).count():
+        raise LookupError(f"node not found: {key}")
+
+
+def walk(edges: DataFrame, start: str, depth: int, reverse: bool = False) -> tuple[DataFrame, int]:
     """Nodes reached from start over edges (edge_key, from_node_key, to_node_key, edge_type, trust_score): node_key, depth,
-    ord (edge keys), keys (nodes from the start on), types, product (of trust). The start isn't among them."""
+    ord (edge keys), keys (nodes from the start on), types, product (of trust). The start isn't among them. The rows are a
+    union of written tables, one for each level. Also the greatest depth."""
     a, b = ("to_node_key", "from_node_key") if reverse else ("from_node_key", "to_node_key")
     steps = edges.select(F.col(a).alias("node_key"), F.col(b).alias("next"), "edge_key", "edge_type", "trust_score")
     none = "cast(array() as array<string>)"
     seen = edges.sparkSession.range(1).select(F.lit(start).alias("node_key"), F.lit(0).alias("depth"), F.expr(none).alias("ord"), F.array(F.lit(start)).alias("keys"), F.expr(none).alias("types"), F.lit(1.0).alias("product"))
-    frontier, found = seen, 1
+    frontier, found, reached = seen, 1, 0
     for level in range(1, depth + 1):
         near = F.broadcast(frontier) if found <= SMALL_FRONTIER else frontier
         ways = F.struct(F.array_append("ord", F.col("edge_key")).alias("ord"), F.array_append("keys", F.col("next")).alias("keys"), F.array_append("types", F.col("edge_type")).alias("types"), (F.col("product") * F.col("trust_score")).alias("product"))
         best = steps.join(near, "node_key").select("next", ways.alias("way")).groupBy("next").agg(F.min_by("way", "way.ord").alias("way"))
         fresh = best.join(seen.select(F.col("node_key").alias("next")), "next", "left_anti")
-        frontier = cut(fresh.select(F.col("next").alias("node_key"), F.lit(level).alias("depth"), "way.ord", "way.keys", "way.types", "way.product"))
-        if not (found := frontier.count()):
+        frontier, (found,) = cut_counted(fresh.select(F.col("next").alias("node_key"), F.lit(level).alias("depth"), "way.ord", "way.keys", "way.types", "way.product"), F.count("*"))
+        if not found:
             break
-        seen = seen.unionAll(frontier)
-    return seen.where("depth > 0")
+        seen, reached = seen.unionAll(frontier), level
+    return seen.where("depth > 0"), reached
 
 
 def deps(nodes: DataFrame, edges: DataFrame, start: str, depth: int, reverse: bool = False, derivations: tuple[str, ...] = ()) -> DataFrame:
     """Dependencies (or dependents) of a node with attributes and the rank of discovery. An unknown start is an error."""
-    if nodes.where(F.col("node_key") == start).isEmpty():
-        raise LookupError(f"node not found: {start}")
-    found = walk(cut(narrow(edges, derivations)), start, depth, reverse)
+    known(nodes, start)
+    found, _ = walk(cut(narrow(edges, derivations)), start, depth, reverse)
     shown = found.join(nodes.select("node_key", "name", "layer", "node_type", "trust_score", "freshness", "status"), "node_key")
     return shown.select("node_key", "name", "layer", "node_type", "depth", "trust_score", "freshness", "status", F.array_join("ord", "|").alias("via"))
 
@@ -80,14 +86,12 @@ class Impact:
 def impact(nodes: DataFrame, edges: DataFrame, registry: Registry, start: str, depth: int = 10, top_k: int = 50, min_score: float = 0.0, derivations: tuple[str, ...] = (), include_structural: bool = False) -> Impact:
     """What breaks if start changes. include_structural changes nothing: a structural edge isn't walked backwards at all."""
     depth, top_k = (depth if depth > 0 else 10), (top_k if top_k > 0 else 50)
-    if nodes.where(F.col("node_key") == start).isEmpty():
-        raise LookupError(f"node not found: {start}")
+    known(nodes, start)
     shown = F.col("edge_type").isin(*SURFACE)
     walked = ~F.col("edge_type").isin(*(registry.structural | registry.no_reverse))
     chosen = F.col("derivation_kind").isin(*derivations) if derivations else F.lit(True)
     steps = cut(narrow(edges.where((walked & chosen) | shown)).withColumn("walked", walked & ~shown))
-    found = cut(walk(steps.where("walked"), start, depth, reverse=True))
-    reached = found.agg(F.max("depth")).first()[0] or 0
+    found, reached = walk(steps.where("walked"), start, depth, reverse=True)
     scored = found.select("node_key", "depth", impact_score(F.col("product"), F.col("depth")).alias("score"), round_at(F.col("product"), 3).alias("trust_chain"), F.array_join("keys", ">").alias("path"), F.array_join("types", ">").alias("edge_types"), "ord")
     top = cut(scored.where(F.col("score") >= min_score).orderBy(F.desc("score"), "depth", "ord").limit(top_k))
     named = top.join(nodes.select("node_key", "name", "layer", "node_type"), "node_key")

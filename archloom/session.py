@@ -6,7 +6,7 @@ import re
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -59,3 +59,14 @@ def cut(frame: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(_CLEAN, before)
     return spark.read.schema(frame.schema).parquet(folder)
+
+
+def cut_counted(frame: DataFrame, *counts: Column) -> tuple[DataFrame, tuple[int, ...]]:
+    """`cut`, with aggregates of the rows taken while they are written, so that counting them needs no job of its own. Tasks
+    that run again count once, as the rows are counted in the writing stage itself."""
+    seen, names = Observation(), [f"n{i}" for i in range(len(counts))]
+    out = cut(frame.observe(seen, *(c.alias(n) for c, n in zip(counts, names, strict=True))))
+    got = seen.get
+    if not got:  # the rows were known to be none before any task ran
+        return out, tuple(out.agg(*counts).first())
+    return out, tuple(got[n] for n in names)
