@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 
 from archloom.llm.common import whole_text
 
-#: Pre-tokens whose ids a worker remembers, twice over at most; results don't depend on it.
-REMEMBERED = 200_000
+#: Pre-tokens, and characters of them, whose ids a worker remembers, twice over at most beside those of one text; results
+#: don't depend on them.
+REMEMBERED, REMEMBERED_CHARACTERS = 200_000, 2_000_000
 
 #: Stands for no byte.
 SEPARATOR = chr(512)
@@ -100,6 +101,7 @@ class ByteBpe:
         self.unlike = {i for i, ids in enumerate(self.pieces.encode(names, num_threads=1)) if ids != [i]}
         self.young: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
+        self.characters = 0  # of the young
 
     def _encode_new(self, tokens: list[str]) -> None:
         """Encode pre-tokens in one call, with a character between them that no piece has, and remember their ids."""
@@ -119,9 +121,10 @@ class ByteBpe:
         found = list(map(self.young.get, tokens))
         if None in found:
             new = {t for t, ids in zip(tokens, found, strict=True) if ids is None}
-            if len(self.young) + len(new) > REMEMBERED:
-                self.old, self.young = self.young, {}
+            if len(self.young) + len(new) > REMEMBERED or self.characters + sum(map(len, new)) > REMEMBERED_CHARACTERS:
+                self.old, self.young, self.characters = self.young, {}, 0
                 new = set(tokens)
+            self.characters += sum(map(len, new))
             self.young.update((t, ids) for t in new if (ids := self.old.get(t)) is not None)
             if new := [t for t in new if t not in self.young]:
                 self._encode_new(new)

@@ -7,7 +7,8 @@ whose texts hold control strings are escaped and the text is rendered again, unt
 puts a mark inside each control string and doubles marks that were there; the parser takes both back.
 
 Turns go by turn number, then role, then text (nulls first); repeated rows are repeated turns. Null text counts as
-empty, null role as the empty role. A null conv_id is a conversation of its own. Texts of any length are kept whole.
+empty, null role as the empty role. A row with a null conv_id is a conversation of its own, as nothing says that it belongs
+to another row; such rows aren't shuffled, so any number of them may come. Texts of any length are kept whole.
 The loss mask covers the assistant texts.
 """
 
@@ -105,14 +106,15 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _sorted_turns(rows: DataFrame) -> DataFrame:
     turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.repartition("conv_id").sortWithinPartitions(F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "role", "text")
+    named = turns.where(F.col("conv_id").isNotNull()).repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text")
+    return named.unionAll(turns.where(F.col("conv_id").isNull()))
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[Turn]]]:
     now, turns = None, []
     for batch in batches:
         for conv, role, text in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
-            if turns and conv != now:
+            if turns and (conv is None or conv != now):
                 yield now, turns
                 turns = []
             now = conv

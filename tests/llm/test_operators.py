@@ -51,6 +51,16 @@ def test_bpe_equals_the_library(model, reference):
     assert codec.decode(codec.encode(long)) == long.encode()
 
 
+def test_bpe_remembers_few_characters(model, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_CHARACTERS", 5_000)
+    codec, rng = bpe.ByteBpe(model, public_tokenizers.PATTERN), random.Random(2)
+    for _ in range(60):
+        text = " ".join("".join(rng.choices("abcdefgh", k=rng.choice([3, 900]))) for _ in range(4)) + " the same again"
+        assert codec.encode(text) == reference.encode_ordinary(text)
+        held = sum(map(len, codec.young)), sum(map(len, codec.old))
+        assert codec.characters == held[0] and max(held) <= 5_000 + len(text)
+
+
 def test_bpe_frames(spark, model, reference):
     docs = docs_of(spark, [(1, "Hello world"), (1, "Hello world"), (2, None), (3, ""), (None, "x y")]).withColumn("ids", F.lit("clash"))
     encoded = bpe.encode_frame(docs, model, public_tokenizers.PATTERN)
@@ -366,6 +376,13 @@ def test_chat_frames(spark):
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_chat_rows_without_conversation(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (4, 0, "user", "c"), (None, 1, "assistant", "b"), (4, 1, "assistant", "d")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = sorted((r.conv_id or 0, r.formatted) for r in chat.format_conversations(turns).collect())
+    assert got == [(0, "<s>[INST]a[/INST]</s>"), (0, "<s>[OUT]b[/OUT]</s>"), (0, "<s>[OUT]b[/OUT]</s>"), (4, "<s>[INST]c[/INST]</s><s>[OUT]d[/OUT]</s>")]
+
+
 # 7 -------------------------------------------------------------------------------------------------------------------
 def plain_best_fit(sizes, capacities, opened, overhead):
     """Contents of bins by best fit, looking at every bin for every size."""
