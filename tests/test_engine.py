@@ -16,6 +16,7 @@ from archloom.operators import insight, ledger, lookup, mutate, paths, temporal,
 from archloom.schema import TABLES
 from archloom.session import own_folder, shared_dir
 from archloom.sources import payload
+from archloom.sources.projection import World
 from archloom.sources.registry import Manifest, Registry
 from archloom.store import Busy, GraphStore, ImportFailed
 
@@ -357,3 +358,13 @@ def test_keys_in_normal_form_are_the_long_way_s(spark):
     # each step of normalisation is written a few times only, and so computed as seldom
     plan = spark.range(1).select(keys.edge_key(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") <= 4
+
+
+def test_steps_at_few_nodes_are_looked_up_alone(spark):
+    """Only active edges at the nodes asked for are written, and trust is joined to no edge that has no evidence."""
+    rows = [(A, B, "INJECTS", True), (A, C, "INJECTS", False), (B, C, "INJECTS", True)]
+    frame = spark.createDataFrame(rows, "a string, b string, edge_type string, active boolean")
+    got = traverse.Steps(frame).at("a", spark.createDataFrame([(A,)], "_at string"), 1)
+    assert [tuple(r) for r in got.collect()] == [(A, B, "INJECTS")]
+    plan = World(spark, "/root/testdata/sf0.001").edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
