@@ -368,3 +368,13 @@ def test_steps_at_few_nodes_are_looked_up_alone(spark):
     assert [tuple(r) for r in got.collect()] == [(A, B, "INJECTS")]
     plan = World(spark, "/root/testdata/sf0.001").edges._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_a_batch_is_validated_once(spark, tmp_path):
+    """Steps behind validation read what it wrote: rows that are made anew at each reading keep their values, and columns
+    without a type may be written."""
+    store = GraphStore(spark, str(tmp_path / "g"))
+    rows = spark.range(20).select(F.col("id").alias("position"), F.rand().alias("drawn"), F.lit(None).alias("note"), F.lit(None).cast("string").alias("error"))
+    checked = store._checked(rows, "nodes")
+    assert sorted(checked.collect()) == sorted(checked.collect()) and checked.select("drawn").distinct().count() == 20
+    assert checked.where("note is null").count() == 20 and "rand" not in checked._jdf.queryExecution().optimizedPlan().toString()
