@@ -59,12 +59,34 @@ def low_confidence(edges: DataFrame, nodes: DataFrame, threshold: float = 0.8) -
 def evidence_by_domain(evidence: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """domain_key, status, n. Evidence of an edge counts for the domain of the node that it starts from; evidence without a
     known target has a null domain."""
-    homes = nodes.groupBy("node_key").agg(F.min("domain_key").alias("domain_key"))
-    starts = edges.groupBy("edge_key").agg(F.min("from_node_key").alias("node_key")).join(homes, "node_key", "left")
-    home = homes.select(F.lit("node").alias("target_kind"), F.col("node_key").alias("target_key"), "domain_key")
-    home = home.unionAll(starts.select(F.lit("edge"), "edge_key", "domain_key"))
-    counted = evidence.groupBy("target_kind", "target_key", "status").agg(F.count("*").alias("n"))
-    return counted.join(home, ["target_kind", "target_key"], "left").groupBy("domain_key", "status").agg(F.sum("n").alias("n"))
+    of_edges = evidence.where("target_kind = 'edge'").select(F.col("target_key").alias("edge_key"), "status")
+    by_start = told_by_start(of_edges, edges, ["edge_key"], "from_node_key").withColumnRenamed("_start", "node_key")
+    return told_by_domain(by_start.unionAll(told_of_nodes(evidence)), nodes)
+
+
+def told_by_start(evidence: DataFrame, edges: DataFrame, on: list[str], start: str) -> DataFrame:
+    """_start, status, n: evidence of edges by the node (column `start` of edges) that its edge starts from, null where there
+    is no such edge. `on` tells edges apart, by key or by numbers that stand for it, so that rows may be narrow."""
+    counted = evidence.groupBy(*on, "status").agg(F.count("*").alias("n"))
+    if dict(edges.dtypes)[start] == "string":  # the least of strings is found by sorting: once only, behind the shuffle
+        edges = edges.repartition(*on)
+    starts = edges.groupBy(*on).agg(F.min(start).alias("_start"))
+    return counted.join(starts, on, "left").groupBy("_start", "status").agg(F.sum("n").alias("n"))
+
+
+def told_of_nodes(evidence: DataFrame) -> DataFrame:
+    """node_key, status, n: evidence that isn't of edges, by the node it tells of."""
+    other = evidence.where(~F.col("target_kind").eqNullSafe(F.lit("edge")))
+    return other.groupBy(F.when(F.col("target_kind") == "node", F.col("target_key")).alias("node_key"), "status").agg(F.count("*").alias("n"))
+
+
+def told_by_domain(told: DataFrame, nodes: DataFrame) -> DataFrame:
+    """domain_key, status, n of told (node_key, status, n). Nodes are only looked up: none is sorted or grouped that isn't
+    told of, and of several with one key the least domain counts."""
+    once = told.groupBy("node_key", "status").agg(F.sum("n").alias("n"))
+    found = once.join(nodes.select("node_key", "domain_key"), "node_key", "left")
+    homes = found.groupBy("node_key", "status").agg(F.min("domain_key").alias("domain_key"), F.max("n").alias("n"))
+    return homes.groupBy("domain_key", "status").agg(F.sum("n").alias("n"))
 
 
 def finalized(counts: DataFrame, domain: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from archloom.functions import keys
 from archloom.operators import insight, ledger, lookup, mutate, paths, temporal, traverse, trust, validate
+from archloom.plans.queries import QUERIES
 from archloom.schema import TABLES
 from archloom.session import own_folder, shared_dir
 from archloom.sources import payload
@@ -378,3 +379,25 @@ def test_a_batch_is_validated_once(spark, tmp_path):
     checked = store._checked(rows, "nodes")
     assert sorted(checked.collect()) == sorted(checked.collect()) and checked.select("drawn").distinct().count() == 20
     assert checked.where("note is null").count() == 20 and "rand" not in checked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evidence_by_domain(spark):
+    """Targets that aren't there, other kinds, repeated keys and null ones; the same counts by numbers. Edges
+    aren't sorted before they are dealt out."""
+    nodes = spark.createDataFrame([("a", "x"), ("a", "w"), ("b", "y"), (None, "z")], "node_key string, domain_key string")
+    edges = spark.createDataFrame([("e", "b"), ("e", "a"), ("f", "b"), ("g", "lost"), (None, "a")], "edge_key string, from_node_key string")
+    told = [("edge", "e", "valid")] * 2 + [("edge", k, "valid") for k in ("f", "g", "none", None)] + [("node", "a", "stale"), ("node", "e", "stale"), ("node", None, "stale"), ("team", "a", "stale"), (None, "a", None)]
+    evidence = spark.createDataFrame(told, "target_kind string, target_key string, status string")
+    found = insight.evidence_by_domain(evidence, nodes, edges)
+    assert {tuple(r) for r in found.collect()} == {("w", "valid", 2), ("y", "valid", 1), (None, "valid", 3), ("w", "stale", 1), (None, "stale", 3), (None, None, 1)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+    numbers = spark.createDataFrame([(1, 1), (1, 1), (1, None), (None, 1)], "p int, s int")
+    got = insight.told_by_start(numbers.withColumn("status", F.lit("valid")), numbers.distinct(), ["p", "s"], "p")
+    assert {tuple(r) for r in got.collect()} == {(1, "valid", 2), (None, "valid", 2)}
+
+
+def test_evidence_of_calls_is_counted_by_numbers(spark):
+    """Only the lines' calls and the nodes that they start from are dealt out: no edge of another type, no key of an edge."""
+    plan = QUERIES["finalize_domain"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "CONSUMES_TOPIC" not in plan and "CALLS_SERVICE" not in plan
