@@ -17,7 +17,7 @@ from archloom.plans.queries import QUERIES
 from archloom.schema import TABLES
 from archloom.session import own_folder, shared_dir
 from archloom.sources import payload
-from archloom.sources.projection import World
+from archloom.sources.projection import BRAND, PART, World
 from archloom.sources.registry import Manifest, Registry
 from archloom.store import Busy, GraphStore, ImportFailed
 
@@ -401,3 +401,27 @@ def test_evidence_of_calls_is_counted_by_numbers(spark):
     """Only the lines' calls and the nodes that they start from are dealt out: no edge of another type, no key of an edge."""
     plan = QUERIES["finalize_domain"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "CONSUMES_TOPIC" not in plan and "CALLS_SERVICE" not in plan
+
+
+def test_numbers_that_keys_end_in(spark):
+    """A value and the key that it makes have one number, or -1: no row is missed that is found by numbers first."""
+    values = [0, 7, 99, -7, 10**17, 10**17 + 1, 2**63 - 1, -(2**63), None]
+    rows = spark.createDataFrame([(v,) for v in values], "v bigint")
+    got = {r.v: (r.a, r.b) for r in rows.select("v", keys.as_number(F.col("v")).alias("a"), keys.number_of(F.concat(F.lit(PART), "v")).alias("b")).collect()}
+    assert all(a in (-1, b) for a, b in got.values()) and got[99] == (99, 99) and got[-7][0] == -1
+    text = spark.createDataFrame([("brand#12",), ("x",), ("",), ("1" * 19,), ("12",)], "v string")
+    assert [tuple(r) for r in text.select(keys.as_number(F.col("v")), keys.number_of(F.col("v"))).collect()] == [(-1, 12), (-1, -1), (-1, -1), (-1, -1), (-1, 12)]
+
+
+def test_edges_are_found_by_numbers_before_keys_and_trust(spark):
+    """What World.edges_at and drawn_at find at nodes is what all edges have there, and lines are told before they are grouped."""
+    w = World(spark, "/root/testdata/sf0.001")
+    some = w.edges.orderBy(F.xxhash64("edge_key")).limit(12).select("from_node_key", "to_node_key").collect()
+    for column in ("from_node_key", "to_node_key"):
+        nodes = spark.createDataFrame([(r[column],) for r in some] + [("ownership:team:shop:nation-3",), (f"{BRAND}brand#12",)], "_at string").distinct()
+        for whole, at in ((w.edges, w.edges_at), (w.drawn, w.drawn_at)):
+            want, got = (sorted(map(repr, f.join(nodes, F.col(column) == F.col("_at"), "left_semi").select(whole.columns).collect())) for f in (whole, at(column, nodes)))
+            assert got == want and len(want) > 2
+        plan = w.edges_at(column, nodes)._jdf.queryExecution().optimizedPlan().toString()
+        trusted = plan[plan.index("product("):]
+        assert trusted.index("Join LeftSemi") < trusted.index("Relation")
