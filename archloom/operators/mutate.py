@@ -83,25 +83,19 @@ def upsert_evidence(evidence: DataFrame, incoming: DataFrame, revision: int = 0)
     is inserted as valid. The last of equal rows (column `position`) gives confidence, commit and extractor version."""
     given = incoming.withColumn("polarity", F.coalesce("polarity", F.lit("positive")))
     facts = ("confidence", "commit_sha", "extractor_version")
-    last = given.groupBy(*IDENTITY).agg(F.count("*").alias("_n"), F.max_by(F.struct(*given.drop(*IDENTITY).columns), "position").alias("_last"))
-    new = last.select(*(F.col(c).alias(f"_k_{c}") for c in IDENTITY), "_n", "_last")
-    same = is_open()
-    for c in IDENTITY:
-        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    joined = evidence.join(new, same, "left")
-    hit = F.col("_n").isNotNull()
+    # rows are sorted by a number first, as identities are alike in most of their letters
+    last = given.groupBy(F.xxhash64(*IDENTITY).alias("_hash"), *IDENTITY).agg(F.count("*").alias("_n"), F.max_by(F.struct(*given.drop(*IDENTITY).columns), "position").alias("_last"))
+    new = last.select("_hash", F.struct(*IDENTITY).alias("_same"), "_n", "_last")
+    # closed rows are nobody's: their number is null
+    there = evidence.withColumns({"_there": F.lit(True), "_of": F.when(is_open(), F.xxhash64(*IDENTITY))})
+    both = there.join(new, (F.col("_of") == F.col("_hash")) & (F.struct(*IDENTITY) == F.col("_same")), "full")
+    hit, revised, top = F.col("_n").isNotNull(), F.lit(revision).cast("long"), evidence.agg(F.coalesce(F.max("evidence_id"), F.lit(0))).scalar()
     status = F.when(hit & (F.col("status") == "stale") & (F.col("_n") == 1), "revalidated").when(hit, "valid").otherwise(F.col("status"))
-    changed = {c: F.when(hit, F.col(f"_last.{c}")).otherwise(F.col(c)) for c in facts} | {"status": status, "last_verified": F.when(hit, F.lit(revision).cast("long")).otherwise(F.col("last_verified"))}
-    kept = joined.withColumns(changed).select(evidence.columns)
-    probe = evidence.where(is_open()).select(*(F.col(c).alias(f"_k_{c}") for c in IDENTITY))
-    same = F.lit(True)
-    for c in IDENTITY:
-        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    fresh = last.join(probe, same, "left_anti").select(*IDENTITY, "_last.*").drop("status", "last_verified", "evidence_id", "valid_from", "valid_to")
-    fresh = fresh.withColumns({"status": F.lit("valid"), "last_verified": F.lit(revision).cast("long"), "valid_from": F.lit(revision).cast("long")})
-    top = evidence.agg(F.coalesce(F.max("evidence_id"), F.lit(0))).scalar()
-    fresh = fresh.withColumn("evidence_id", top + 1 + F.monotonically_increasing_id())
-    return kept.unionByName(_like(fresh, evidence))
+    changed = {c: F.when(hit, F.col(f"_last.{c}")).otherwise(F.col(c)) for c in facts} | {"status": status, "last_verified": F.when(hit, revised).otherwise(F.col("last_verified"))}
+    fresh = {c: F.col(f"_same.{c}") for c in IDENTITY} | {"valid_from": revised, "evidence_id": top + 1 + F.monotonically_increasing_id()}
+    fresh |= {c: F.col(f"_last.{c}") for c in given.columns if c in evidence.columns and c not in (*IDENTITY, *facts, "status", "last_verified", "evidence_id", "valid_from", "valid_to")}
+    row = lambda f: changed.get(f.name, F.when(F.col("_there"), F.col(f.name)).otherwise(fresh[f.name]) if f.name in fresh else F.col(f.name))
+    return both.select(*(row(f).cast(f.dataType).alias(f.name) for f in evidence.schema.fields))
 
 
 def invalidate(evidence: DataFrame, files: DataFrame, revision: int = 0, repo: str | None = None) -> DataFrame:

@@ -425,3 +425,25 @@ def test_edges_are_found_by_numbers_before_keys_and_trust(spark):
         plan = w.edges_at(column, nodes)._jdf.queryExecution().optimizedPlan().toString()
         trusted = plan[plan.index("product("):]
         assert trusted.index("Join LeftSemi") < trusted.index("Relation")
+
+
+def test_evidence_is_upserted_in_one_join(spark):
+    """Null parts of an identity are alike, closed rows stay, all open rows of an identity are hit, new ones get numbers of
+    their own; the stored rows are dealt out once."""
+    def stored(number, line, status, closed=None, repo="r"):
+        return (number, "edge", "e", "file", repo, "f", line, 5, "x", "0", "old", 0.1, "positive", status, 1, 1, closed, 3)
+
+    names = "evidence_id target_kind target_key source_kind repo_name file_path line_start line_end extractor_id extractor_version commit_sha confidence polarity status last_verified valid_from valid_to context_id".split()
+    table = spark.createDataFrame([stored(1, None, "stale"), stored(2, None, "stale", 4), stored(3, 1, "invalidated"), stored(4, 1, "stale"), stored(5, 2, "stale"), stored(6, 3, "stale", 4), stored(7, 9, "stale", None, None)], "evidence_id bigint, " + TABLES["evidence"].split(", ", 1)[1]).select(*names)
+    given = [(i, "edge", "e", "file", repo, "f", line, 6, "x", "1", f"c{i}", 0.5, polarity) for i, (line, repo, polarity) in enumerate([(None, "r", None), (1, "r", "positive"), (3, "r", "positive"), (3, "r", "positive"), (9, None, "positive"), (9, "r", "positive"), (2, "r", "negative")])]
+    incoming = spark.createDataFrame(given, "position int, target_kind string, target_key string, source_kind string, repo_name string, file_path string, line_start int, line_end int, extractor_id string, extractor_version string, commit_sha string, confidence double, polarity string")
+    after = mutate.upsert_evidence(table, incoming, 9)
+    rows = after.collect()
+    assert after.columns == table.columns and after.dtypes == table.dtypes
+    old = {r.evidence_id: (r.status, r.commit_sha, r.confidence, r.last_verified, r.valid_from, r.valid_to, r.line_end, r.context_id) for r in rows if r.evidence_id <= 7}
+    assert old == {1: ("revalidated", "c0", 0.5, 9, 1, None, 5, 3), 2: ("stale", "old", 0.1, 1, 1, 4, 5, 3), 3: ("valid", "c1", 0.5, 9, 1, None, 5, 3), 4: ("revalidated", "c1", 0.5, 9, 1, None, 5, 3), 5: ("stale", "old", 0.1, 1, 1, None, 5, 3), 6: ("stale", "old", 0.1, 1, 1, 4, 5, 3), 7: ("revalidated", "c4", 0.5, 9, 1, None, 5, 3)}
+    new = {(r.line_start, r.repo_name, r.polarity, r.status, r.commit_sha, r.last_verified, r.valid_from, r.valid_to, r.line_end, r.context_id) for r in rows if r.evidence_id > 7}
+    assert new == {(3, "r", "positive", "valid", "c3", 9, 9, None, 6, None), (9, "r", "positive", "valid", "c5", 9, 9, None, 6, None), (2, "r", "negative", "valid", "c6", 9, 9, None, 6, None)}
+    assert len({r.evidence_id for r in rows}) == len(rows) == 10
+    plan = after.drop("evidence_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
