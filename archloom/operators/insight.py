@@ -96,11 +96,12 @@ def finalized(counts: DataFrame, domain: str) -> DataFrame:
 
 
 def without_evidence(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
-    return nodes.where("status = 'active'").join(evidence.where("target_kind = 'node'").select(F.col("target_key").alias("node_key")), "node_key", "left_anti")
+    told = evidence.where("target_kind = 'node'").select(F.col("target_key").alias("node_key")).distinct()  # few nodes have most rows
+    return nodes.where("status = 'active'").join(told, "node_key", "left_anti")
 
 
 def modules_without_contains(nodes: DataFrame, edges: DataFrame, module: str = "module") -> DataFrame:
-    holds = edges.where("active and edge_type = 'CONTAINS'").select(F.col("from_node_key").alias("node_key"))
+    holds = edges.where("active and edge_type = 'CONTAINS'").select(F.col("from_node_key").alias("node_key")).distinct()
     return nodes.where((F.col("node_type") == module) & (F.col("status") == "active")).join(holds, "node_key", "left_anti")
 
 

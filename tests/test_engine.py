@@ -447,3 +447,13 @@ def test_evidence_is_upserted_in_one_join(spark):
     assert len({r.evidence_id for r in rows}) == len(rows) == 10
     plan = after.drop("evidence_id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_evidence_is_dealt_out_once_per_node(spark):
+    """However many rows tell of a node, the join with nodes gets one of each task."""
+    nodes, edges = graph(spark, SHOP)
+    told = spark.range(0, 1000, 1, 2).select(F.lit("node").alias("target_kind"), F.lit(WEB).alias("target_key"))
+    found = insight.without_evidence(nodes, told)
+    assert WEB not in (keys_ := {r.node_key for r in found.collect()}) and len(keys_) == nodes.count() - 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("LeftAnti"):]
