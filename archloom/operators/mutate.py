@@ -19,6 +19,12 @@ def _like(frame: DataFrame, table: DataFrame) -> DataFrame:
     return frame.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema.fields))
 
 
+def _meets(key: str) -> Column:
+    """Whether a row's key is the batch's `_key`. Rows meet by a number and keys are compared then (as a range, or they would
+    be a key of the join too): a broadcast batch holds each key once, and keys, alike in most letters, aren't sorted."""
+    return (F.xxhash64(key) == F.xxhash64("_key")) & F.col(key).between(F.col("_key"), F.col("_key"))
+
+
 def upsert(table: DataFrame, incoming: DataFrame, key: str, number: str, revision: int = 0, fixed: tuple[str, ...] = (), kept: tuple[str, ...] = ("first_seen",), filled: tuple[str, ...] = ()) -> DataFrame:
     """Insert or change rows by key. revision 0 changes the open row in place, but for the columns in `kept`, and those in
     `filled` only where incoming isn't null; otherwise the open row is closed and a new version inserted. A fixed column that
@@ -43,12 +49,12 @@ def upsert(table: DataFrame, incoming: DataFrame, key: str, number: str, revisio
     fresh = fresh.withColumn(number, top + 1 + F.monotonically_increasing_id())
     if revision:
         touched = rows.select(F.col(key).alias("_key")).withColumn("_hit", F.lit(True))
-        closed = table.join(touched, F.col(key) == F.col("_key"), "left")
+        closed = table.join(touched, _meets(key), "left")
         after = closed.withColumn("valid_to", F.when(F.col("_hit") & is_open(), F.lit(revision).cast("long")).otherwise(F.col("valid_to"))).select(table.columns)
     else:
         mutable = [c for c in rows.columns if c in table.columns and c not in (key, number, "valid_from", "valid_to", *kept, *fixed)]
         new = rows.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in mutable), F.lit(True).alias("_hit"))
-        joined = table.join(new, (F.col(key) == F.col("_key")) & is_open(), "left")
+        joined = table.join(new, _meets(key) & is_open(), "left")
         value = lambda c: F.coalesce(f"_{c}", c) if c in filled else F.col(f"_{c}")
         after = joined.withColumns({c: F.when(F.col("_hit"), value(c)).otherwise(F.col(c)) for c in mutable}).select(table.columns)
     return after.unionByName(_like(fresh, table))

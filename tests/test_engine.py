@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 import random
 import re
 from collections import deque
@@ -457,3 +458,40 @@ def test_evidence_is_dealt_out_once_per_node(spark):
     assert WEB not in (keys_ := {r.node_key for r in found.collect()}) and len(keys_) == nodes.count() - 1
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("LeftAnti"):]
+
+
+def test_pairs_of_lines_are_dealt_out_by_the_size_of_their_table(spark, monkeypatch):
+    """A task's share of the different pairs doesn't grow with the table, and shares lose none."""
+    folder = "/root/testdata/sf0.001"
+    size = os.path.getsize(f"{folder}/lineitem.parquet")
+    for share, most, want in ((size // 8, 99, 9), (size // 8, 6, 6), (size, 99, 4)):
+        monkeypatch.setattr("archloom.sources.projection.SHARE", share)
+        monkeypatch.setattr("archloom.sources.projection.MOST_SHARES", most)
+        w = World(spark, folder)
+        plan = w.drawn._jdf.queryExecution().optimizedPlan().toString()
+        assert re.findall(r"RepartitionByExpression \[.*\], (\d+)", plan) == [str(want)] * 2
+        lines = w.table("lineitem")
+        for kind, columns in (("CALLS_SERVICE", ("l_partkey", "l_suppkey")), ("CONSUMES_TOPIC", ("l_partkey", "l_orderkey"))):
+            found = w.drawn.where(F.col("edge_type") == kind)
+            assert found.count() == found.select("edge_key").distinct().count() == lines.select(*columns).distinct().count()
+
+
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_rows_meet_a_batch_by_number_and_key(spark, monkeypatch, limit):
+    """Keys of one number are told apart, null ones are nobody's and closed rows stay, whether rows are sorted or the batch is
+    broadcast; the join knows a number only."""
+    table = spark.createDataFrame([("aa", 1, "old", 1, None), ("ab", 2, "old", 1, None), ("ab", 3, "older", 0, 1), (None, 4, "old", 1, None), ("c", 5, "old", 1, None)], "node_key string, node_id bigint, status string, valid_from bigint, valid_to bigint")
+    batch = spark.createDataFrame([("ab", "new"), ("zz", "new"), (None, "new")], "node_key string, status string")
+    stay = {("aa", "old", None), ("ab", "older", 1), (None, "old", None), ("c", "old", None), ("ab", "new", None), ("zz", "new", None), (None, "new", None)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        plan = mutate.upsert(table, batch, "node_key", "node_id", revision=9).drop("node_id")._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"(SortMerge|BroadcastHash)Join \[xxhash64\(node_key#\d+, 42\)\], \[xxhash64\(_key#\d+, 42\)\], LeftOuter", plan)
+        for number in (F.xxhash64, F.length):  # lengths: many keys of one number
+            monkeypatch.setattr(F, "xxhash64", number)
+            for revision, more in ((9, {("ab", "old", 9)}), (0, set())):
+                rows = mutate.upsert(table, batch, "node_key", "node_id", revision).collect()
+                assert {(r.node_key, r.status, r.valid_to) for r in rows} == stay | more and len(rows) == 7 + len(more)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
